@@ -87,8 +87,8 @@ class ManifestStore:
     def run(self, listing: DataFrame, process) -> str | None:
         """Process what is pending with ``process(DataFrame) -> DataFrame``; returns the batch id, None if nothing was."""
         todo = self.pending(listing).dropDuplicates(["path", "size", "checksum"])
-        key = F.xxhash64("path", "size", "checksum")
-        n, low, high = todo.select(F.count("*"), F.bit_xor(key), F.sum(F.shiftright(key, 8))).first()
+        keys = [F.xxhash64(F.lit(i), "path", "size", "checksum") for i in (1, 2)]
+        n, low, high = todo.select(F.count("*"), *(F.bit_xor(k) for k in keys)).first()
         if not n:
             return None
         batch = f"{n:x}-{low & (2**64 - 1):016x}-{high & (2**64 - 1):016x}"
