@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.session import width
+from skein.session import cut, width
 
 
 def spread_rank(df: DataFrame, group: list[str], order: list[Column], name: str, dense_ties: bool = True) -> DataFrame:
@@ -14,9 +14,10 @@ def spread_rank(df: DataFrame, group: list[str], order: list[Column], name: str,
 
     A hot group does not land in one task: rows are range-partitioned on group *and* order, ranked within
     (partition, group), and shifted by the sizes of the group's earlier partitions, of which there are at most as many
-    as partitions. With ``dense_ties`` false the order must be total.
+    as partitions. Range bounds come from a sample and may differ when they are computed again, so the rows are
+    written once with their partition number. With ``dense_ties`` false the order must be total.
     """
-    ranged = df.repartitionByRange(width(df.sparkSession), *[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(width(df.sparkSession), *[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id()))
     local = F.rank() if dense_ties else F.row_number()
     ranked = ranged.withColumn("_local", local.over(W.partitionBy("_part", *group).orderBy(*order)))
     sizes = ranged.groupBy("_part", *group).agg(F.count("*").alias("_n"))
@@ -45,7 +46,7 @@ def weighted_median(pairs: Column) -> Column:
     return (at(lambda s: s >= half) + F.coalesce(at(lambda s: s > half), at(lambda s: s >= half))) / 2
 
 
-def median_rank(hits: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def median_rank(hits: DataFrame, weights: dict[str, float] | None = None, positions: bool = True) -> DataFrame:
     """One ranking per query over the chunks of all its collections.
 
     ``hits``: query_id, collection, scorer, point_id, score (higher is better). A list is what one scorer returned for
@@ -55,7 +56,7 @@ def median_rank(hits: DataFrame, weights: dict[str, float] | None = None) -> Dat
     positive), then by mean rank, worst rank, point_id and collection. Only ranks are compared, so no scale dominates.
 
     Result: query_id, collection, point_id, median_rank, mean_rank, worst_rank, lists (how many lists the query and
-    collection have), held (how many hold the point), position (1 is best, unique per query). Repeated rows count once, a null query, collection or point is an ordinary value, no hits give no rows,
+    collection have), held (how many hold the point) and, with ``positions``, position (1 is best, unique per query). Repeated rows count once, a null query, collection or point is an ordinary value, no hits give no rows,
     other columns are ignored.
     """
     weight = F.lit(1.0)
@@ -78,6 +79,8 @@ def median_rank(hits: DataFrame, weights: dict[str, float] | None = None) -> Dat
         "query_id", "collection", "point_id", weighted_median(F.col("pairs")).alias("median_rank"), (total / weight_sum).alias("mean_rank"),
         F.array_max(F.transform("pairs", lambda x: x["rank"])).alias("worst_rank"), F.size("pairs").alias("lists"), "held",
     )
+    if not positions:
+        return out
     order = [F.col("median_rank"), F.col("mean_rank"), F.col("worst_rank"), F.col("point_id"), F.col("collection")]
     return spread_rank(out, ["query_id"], order, "position", dense_ties=False)
 

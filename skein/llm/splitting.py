@@ -68,7 +68,7 @@ def split_oversized(chunks: DataFrame, limit: int = 2400, overlap_lines: int = 3
     cut = cut.select("point_id", "start_line", "symbol_name", "pieces", F.posexplode(F.arrays_zip(F.col("cores"), F.concat(F.array(F.lit("")), F.slice("cores", 1, F.greatest(F.size("cores") - 1, F.lit(0)))).alias("last"), F.col("before"))).alias("i", "p"))
     text, last = F.col("p.cores"), F.col("p.last")
     for n in range(overlap_lines, 0, -1):
-        tails.append(F.regexp_extract(last, rf"(?s)(?:\A|(?<=\n))((?:[^\n]*\n){{{n - 1}}}[^\n]+\n?)\z", 1))
+        tails.append(F.regexp_extract(last, rf"(?s)(?:\A|(?<=\n))((?:[^\n]*\n){{{n - 1}}}(?:[^\n]*\n|[^\n]+))\z", 1))
     fits = [F.when((F.length(t) + F.length(text)) <= limit, F.when(F.length(t) > 0, t)) for t in tails[1:]]
     lead = F.coalesce(*fits, F.lit("")) if fits else F.lit("")
     cut = cut.select("point_id", (F.col("i") + 1).alias("piece"), "pieces", "start_line", "symbol_name", text.alias("text"), F.col("p.before").alias("before"), lead.alias("tail"))
