@@ -18,6 +18,12 @@ medians AS (
 """
 
 SQL: dict[str, str] = {
+    "p1_found": r"""
+WITH texts AS (SELECT point_id, max(content) AS content FROM chunks WHERE length(content) > 0 GROUP BY 1),
+terms AS (SELECT point_id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{Nd}_$]+')) AS term FROM texts),
+counts AS (SELECT point_id, term, count(*) AS n FROM terms GROUP BY ALL),
+held AS (SELECT *, count(*) OVER (PARTITION BY term) AS records FROM counts)
+SELECT point_id, term FROM held WHERE n >= 3 AND records BETWEEN 2 AND 6""",
     "p2_found": P2_RANKS + "SELECT DISTINCT query_id, point_id FROM medians WHERE worst_rank <= 3 AND lists >= 2 AND held = lists",
     "p2_ranking": P2_RANKS + "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_rank, worst_rank, point_id, collection) AS position FROM medians",
     "p6_found": "SELECT DISTINCT point_id FROM chunks WHERE length(content) > 2400",

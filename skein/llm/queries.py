@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import mixing, ranking, splitting, tokens
+from skein.llm import abuse, distinctive, mixing, ranking, splitting, tokens
 from skein.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every term is scored; the exact conditions of a case then pick from the result."""
+    terms = distinctive.distinctive_terms(table(spark, d, "chunks"), min_count=3, min_records=2, max_records=6)
+    return terms.where(F.col("score") >= 0).select("point_id", "term")
+
+
+def p1_terms(spark: SparkSession, d: str) -> DataFrame:
+    return distinctive.distinctive_terms(table(spark, d, "chunks"))
+
+
+def p1_indices(spark: SparkSession, d: str) -> DataFrame:
+    return distinctive.distinctive_indices(table(spark, d, "embedded_chunks"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.leading_everywhere(ranking.median_rank(table(spark, d, "search_hits"), positions=False))
 
@@ -40,4 +54,16 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_ranking, p6_found, p6_pieces, p8_ids, p9_report, p9_mixture)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_abuse(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_rates(p10_scores(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p1_indices, p2_found, p2_ranking, p6_found, p6_pieces, p8_ids, p9_report, p9_mixture, p10_found, p10_scores, p10_rates)}
