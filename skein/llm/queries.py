@@ -50,8 +50,7 @@ def p5_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = p6_pieces(spark, d)
-    return pieces.where(F.col("pieces") > 1).select("point_id").distinct()
+    return p6_pieces(spark, d).where(F.col("piece") == 2).select("point_id").distinct()
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
