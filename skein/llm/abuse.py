@@ -85,10 +85,16 @@ def sentences(text: str) -> list[str]:
     return list(out)
 
 
-def ngrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def ngrams(lines: list[str], at_once: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, offsets): the distinct n-gram buckets of each line, which is framed by blanks."""
-    if not lines:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    parts = [_ngrams(lines[i : i + at_once]) for i in range(0, len(lines), at_once)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    return np.concatenate([b for b, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])
+
+
+def _ngrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, how many each line has)."""
     framed = [f" {s} " for s in lines]
     sizes = np.fromiter(map(len, framed), dtype=np.int64, count=len(framed))
     points = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -102,8 +108,7 @@ def ngrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             bucket = (mix64(rolling[whole] + np.uint64(n) * np.uint64(0x51ED2701)) >> np.uint64(46)).astype(np.int64)
             parts.append(own[whole] * BUCKETS + bucket)
     keys = np.unique(np.concatenate(parts))
-    own = keys // BUCKETS
-    return keys % BUCKETS, np.searchsorted(own, np.arange(len(lines) + 1))
+    return (keys % BUCKETS).astype(np.int32), np.bincount(keys // BUCKETS, minlength=len(lines))
 
 
 @dataclass(frozen=True)
@@ -247,7 +252,7 @@ def labelled(docs: DataFrame, labels: DataFrame, at_most: int) -> DataFrame:
     return texts.join(F.broadcast(mean), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("abusive").alias("abusive"))  # at_most rows
 
 
-def score_abuse(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, longest_train: int = 20_000) -> DataFrame:
+def score_abuse(docs: DataFrame, labels: DataFrame, train_rows: int = 8_000, longest_train: int = 20_000) -> DataFrame:
     """Every document with its score: doc_id, source, score (0 to 1).
 
     The model is trained on at most ``train_rows`` labelled documents, of each at most the first ``longest_train``
