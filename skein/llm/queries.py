@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import abuse, distinctive, handwritten, mixing, neighbors, ranking, splitting, tokens
+from skein.llm import abuse, distinctive, handwritten, mixing, neighbors, ranking, splitting, tokens, validity
 from skein.session import table
 
 
@@ -33,6 +33,18 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.median_rank(table(spark, d, "search_hits"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_files(spark, d).where(~F.col("valid")).select("record_id")
+
+
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    return validity.check_files(table(spark, d, "file_records"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return validity.invalid_rates(p3_files(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.similar_pairs(neighbors.nearest_vectors(table(spark, d, "embedded_chunks"), k=5, min_similarity=0.85), 0.85)
 
@@ -81,4 +93,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.abuse_rates(p10_scores(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p1_indices, p2_found, p2_ranking, p4_found, p4_nearest, p5_found, p5_files, p6_found, p6_pieces, p8_ids, p9_report, p9_mixture, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p1_indices, p2_found, p2_ranking, p3_found, p3_files, p3_rates, p4_found, p4_nearest, p5_found, p5_files, p6_found, p6_pieces, p8_ids, p9_report, p9_mixture, p10_found, p10_scores, p10_rates)}
