@@ -19,7 +19,7 @@ def _constant(name: str) -> None:
 def json_(text: str) -> None:
     """RFC 8259: no comments, no NaN, nothing after the value; numbers of any length."""
     try:
-        json.loads(text.removeprefix("﻿"), parse_constant=_constant, parse_int=str, parse_float=str)
+        json.loads(text.removeprefix("\ufeff"), parse_constant=_constant, parse_int=str, parse_float=str)
     except (ValueError, RecursionError) as e:
         raise Reject(str(e)) from None
 
@@ -30,14 +30,14 @@ _KEPT = re.compile("[\ud800-\udfff]")
 def xml(text: str) -> None:
     """XML 1.0 well-formedness, whatever encoding the declaration names (the text is decoded already)."""
     try:
-        expat.ParserCreate("utf-8").Parse(_KEPT.sub("￾", text.removeprefix("﻿")).encode("utf-8", "replace"), True)
+        expat.ParserCreate("utf-8").Parse(_KEPT.sub("\ufffe", text.removeprefix("\ufeff")).encode("utf-8", "replace"), True)
     except expat.ExpatError as e:
         raise Reject(str(e)) from None
 
 
 def toml(text: str) -> None:
     try:
-        tomllib.loads(text.removeprefix("﻿"))
+        tomllib.loads(text.removeprefix("\ufeff"))
     except (ValueError, RecursionError) as e:
         raise Reject(str(e)) from None
 
@@ -46,6 +46,6 @@ def python(text: str) -> None:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            ast.parse(text.removeprefix("﻿"))
+            ast.parse(text.removeprefix("\ufeff"))
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         raise Reject(str(e)) from None
