@@ -150,7 +150,7 @@ def callees(content: Column) -> Column:
     words = F.array(*map(F.lit, NOT_CALLED))
     free = lambda x: ~F.array_contains(words, x)
     members = F.flatten(F.transform(pairs, lambda p: F.array(F.when(free(p["m"]), p["m"]), F.when(free(p["m"]) & free(p["r"]), F.concat_ws(".", p["r"], p["m"])))))
-    bare = F.filter(F.regexp_extract_all(content, F.lit(r"\b([A-Za-z_][A-Za-z0-9_$]*)\s*\("), F.lit(1)), free)
+    bare = F.filter(F.regexp_extract_all(content, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_$]*)\s*\("), F.lit(1)), free)
     return F.array_distinct(F.filter(F.concat(members, bare), lambda x: x.isNotNull()))
 
 
