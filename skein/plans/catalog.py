@@ -1,7 +1,7 @@
 """All queries of the core, by name, and their SQL."""
 
-from skein.plans import incremental, relations, search
+from skein.plans import incremental, relations, search, state
 
-MODULES = (incremental, search, relations)
+MODULES = (incremental, search, relations, state)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
