@@ -131,7 +131,7 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int,
 
 def nearest_vectors(
     vectors: DataFrame, k: int = 5, min_similarity: float = -1.0, id_col: str = "point_id", vector_col: str = "dense_vector", dim: int = 64,
-    list_size: int = 300, sample_rows: int = 100_000, replicate_ratio: float = 1.15, replicas: int = 3, probe_ratio: float = 1.35, probes: int = 5,
+    list_size: int = 500, sample_rows: int = 100_000, replicate_ratio: float = 1.15, replicas: int = 3, probe_ratio: float = 1.35, probes: int = 5,
 ) -> DataFrame:
     """point_id, neighbor, similarity (cosine, 6 places), rank (1 to k): the k most similar other points of every usable vector.
 
