@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -54,19 +56,36 @@ def cut(df: DataFrame) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
+def _importable(spark: SparkSession) -> bool:
+    """Whether the executors' workers find this package by themselves."""
+
+    def probe(batches):
+        import importlib.util
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"found": [importlib.util.find_spec("skein") is not None]})
+
+    rows = spark.range(0, spark.sparkContext.defaultParallelism, 1, spark.sparkContext.defaultParallelism).mapInArrow(probe, "found boolean").collect()  # one row a core
+    return all(r.found for r in rows)
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that their workers can import it from anywhere."""
+    """Makes sure, once per application, that the executors can import this package: sends it to them if they cannot."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        archive = Path(folder) / f"skein-{sc.applicationId}.zip"
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-            for path in sorted(root.rglob("*.py")):
-                z.write(path, path.relative_to(root.parent).as_posix())
-        sc.addPyFile(str(archive))  # copied into the driver's file store, from which executors fetch it
     _SHIPPED.add(sc.applicationId)
+    if _importable(spark):
+        return
+    root, folder = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="skein-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the archive as long as it lives
+    archive = Path(folder) / "skein-package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(archive))
 
 
 def width(spark: SparkSession) -> int:
