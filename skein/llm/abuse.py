@@ -44,7 +44,8 @@ _MIXED = re.compile(r"(?<![\w@$!|])(?=[\w@$!|]*[a-z])(?=[\w@$!|]*[0134578@$!|][\
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _MASKED = re.compile(r"\*{2,}")
 _REPEAT = re.compile(r"(\D)\1+")
-_OTHER = re.compile(r"[^\w*§0]+")
+_OTHER = re.compile("[^\\w*\u00a7\x01]+")
+_MARKS = re.compile("[\u0300-\u036f]+")
 _LONG = re.compile(rf".{{1,{LONGEST}}}(?:\s|$)|.{{1,{LONGEST}}}", re.S)
 
 
@@ -55,33 +56,35 @@ def _drop() -> dict[int, None]:
     return {c: None for a, b in spans for c in range(a, b + 1)}
 
 
-def plain(sentence: str) -> str:
-    """The sentence in one spelling: lower-case Latin letters without marks, code and numbers masked, tricks undone."""
-    s = sentence
+def plain(text: str) -> str:
+    """The text in one spelling: lower-case Latin letters without marks, code and numbers masked, tricks undone.
+
+    Sentences are kept apart by U+0001; nothing else but words, blanks and masks is left.
+    """
+    s = text
     if not s.isascii():
         s = unicodedata.normalize("NFKC", s.translate(_drop()))
-    s = _CODE.sub(" § ", s).lower()
+    s = _CODE.sub(" \u00a7 ", s).lower()
     if not s.isascii():
-        s = "".join(c for c in unicodedata.normalize("NFD", s.translate(ALIKE)) if not unicodedata.combining(c)).replace("ß", "ss")
+        s = _MARKS.sub("", unicodedata.normalize("NFD", s.translate(ALIKE))).replace("\u00df", "ss")
     s = _SPACED.sub(lambda m: re.sub(r"[ .\-_]", "", m[0]), s)
     s = _MIXED.sub(lambda m: m[0].translate(DIGITS), s)
-    s = _MASKED.sub("**", _NUMBER.sub("0", s))
+    s = _SENTENCE.sub("\x01", _MASKED.sub("**", _NUMBER.sub("0", s)))
     return _OTHER.sub(" ", _REPEAT.sub(r"\1", s)).strip()
 
 
 def sentences(text: str) -> list[str]:
     """The distinct sentences of a text in plain spelling, none longer than LONGEST, and windows of long ones."""
     out: dict[str, None] = {}
-    for s in _SENTENCE.split(text):
-        if s:
-            p = plain(s)
-            for piece in _LONG.findall(p) if len(p) > LONGEST else (p,):
-                if len(piece) > 2:
-                    out[piece.strip()] = None
-                    words = piece.split()
-                    if len(words) > WINDOW + STRIDE:
-                        for i in range(0, len(words) - STRIDE, STRIDE):
-                            out[" ".join(words[i : i + WINDOW])] = None
+    for p in plain(text).split("\x01"):
+        for piece in _LONG.findall(p) if len(p) > LONGEST else (p,):
+            piece = piece.strip()
+            if len(piece) > 2:
+                out[piece] = None
+                words = piece.split()
+                if len(words) > WINDOW + STRIDE:
+                    for i in range(0, len(words) - STRIDE, STRIDE):
+                        out[" ".join(words[i : i + WINDOW])] = None
     return list(out)
 
 
@@ -106,9 +109,10 @@ def _ngrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             own = owner[: len(rolling)]
             whole = own == owner[n - 1 :]
             bucket = (mix64(rolling[whole] + np.uint64(n) * np.uint64(0x51ED2701)) >> np.uint64(46)).astype(np.int64)
-            parts.append(own[whole] * BUCKETS + bucket)
-    keys = np.unique(np.concatenate(parts))
-    return (keys % BUCKETS).astype(np.int32), np.bincount(keys // BUCKETS, minlength=len(lines))
+            parts.append((own[whole] * BUCKETS + bucket).astype(np.int32))  # at_once lines of 2**18 buckets stay below 2**31
+    keys = np.sort(np.concatenate(parts))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    return keys % BUCKETS, np.bincount(keys // BUCKETS, minlength=len(lines))
 
 
 @dataclass(frozen=True)
