@@ -68,6 +68,22 @@ def kept_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
     return F.filter(kept, lambda t: ~t.isin(*stopwords)) if stopwords else kept
 
 
+def first_tokens(text: Column, most: int) -> Column:
+    """The first ``most`` tokens of a text, joined by blanks: what a sparse embedder with a token limit sees."""
+    return F.array_join(F.slice(tokens(text), 1, most), " ")
+
+
+def request_path(path: Column) -> Column:
+    """A path as a caller may write it: ``/`` for ``\\``, without blanks around and slashes or ``./`` at its ends."""
+    return F.btrim(F.regexp_replace(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), r"^(?:\./)+", ""), F.lit("/"))
+
+
+def collection_of(path: Column) -> Column:
+    """The first segment of a request path, ``codebase`` if there is none."""
+    first = F.substring_index(request_path(path), "/", 1)
+    return F.when(F.length(first) > 0, first).otherwise("codebase")
+
+
 def term_weight(count: Column, length: Column) -> Column:
     """Saturated term frequency against a fixed average length; no inverse document frequency."""
     return count * (BM25_K + 1) / (count + BM25_K * (1 - BM25_B + BM25_B * length / AVERAGE_LENGTH))

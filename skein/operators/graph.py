@@ -46,6 +46,46 @@ def edges(chunks: DataFrame, resolved: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def endpoints(chunks: DataFrame) -> DataFrame:
+    """path, method of every route that a chunk declares; of several methods of a path the greatest that is not empty."""
+    rows = chunks.select(F.explode(text.route_paths(F.col("content"), F.col("rel_path"))).alias("path"), text.http_verb(F.col("content")).alias("method"))
+    return rows.groupBy("path").agg(F.coalesce(F.max(F.when(F.col("method") != "", F.col("method"))), F.lit("")).alias("method"))
+
+
+def service_edges(chunks: DataFrame, imports: DataFrame, deps: DataFrame, collections: DataFrame) -> DataFrame:
+    """type, src, dst, token of the remaining families.
+
+    IMPORTS (file to import, of ``imports``: collection, path, name), DECLARES_ENDPOINT and HTTP_CALLS (chunk to path),
+    CONFIGURES (chunk of a configuration file to path), BUILD_DEPENDS (file to artifact, of ``deps``) and RESOLVES_TO (artifact to
+    the collection it stands for).
+    """
+    none = F.lit("").alias("token")
+    artifact = text.artifact_key(F.col("group"), F.col("artifact"), F.col("ecosystem"))
+    matched = relations.match_dependencies(deps.withColumn("self", F.col("collection")).drop("collection"), collections)
+    keys = deps.select("artifact", artifact.alias("key")).distinct()
+    config = chunks.where(F.col("rel_path").rlike(text.CONFIG_FILE))
+    parts = [
+        imports.select(F.lit("IMPORTS").alias("type"), F.concat_ws(":", "collection", "path").alias("src"), text.import_key(F.col("collection"), F.col("name")).alias("dst"), none),
+        chunks.select(F.lit("DECLARES_ENDPOINT"), "chunk_id", F.explode(text.route_paths(F.col("content"), F.col("rel_path"))), none),
+        chunks.select(F.lit("HTTP_CALLS"), "chunk_id", F.explode(text.code_urls(F.col("content"))), none),
+        config.select(F.lit("CONFIGURES"), "chunk_id", F.explode(text.config_urls(F.col("content"))["paths"]), none),
+        deps.select(F.lit("BUILD_DEPENDS"), F.concat_ws(":", "collection", "path"), artifact, none),
+        matched.join(keys, "artifact").select(F.lit("RESOLVES_TO"), "key", "collection", none),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
+
+
+def delete_files(graph_nodes: DataFrame, graph_edges: DataFrame, files: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph without the files (collection, rel_path) and their chunks; symbols and endpoints stay, also those left alone."""
+    gone = files.select(F.concat_ws(":", "collection", "rel_path").alias("key"))
+    gone = gone.unionByName(chunks.join(files.select("collection", "rel_path").distinct(), ["collection", "rel_path"], "left_semi").select(F.col("chunk_id").alias("key"))).distinct()
+    kept = graph_edges.join(gone.withColumnRenamed("key", "src"), "src", "left_anti").join(gone.withColumnRenamed("key", "dst"), "dst", "left_anti")
+    return graph_nodes.join(gone, "key", "left_anti"), kept.select(*graph_edges.columns)
+
+
 def neighbor_keys(graph_edges: DataFrame) -> DataFrame:
     """chunk_id, keys: how many distinct symbols each chunk defines or calls."""
     rows = graph_edges.where(F.col("type").isin("DEFINES", "CALLS")).select(F.col("src").alias("chunk_id"), "dst").distinct()

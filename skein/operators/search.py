@@ -160,6 +160,17 @@ def outliers(chunks: DataFrame, context: list[int], k: int = 5, ceiling: float =
     return scored.drop("context", "centre", "dense_vector").orderBy("score", "point_id").limit(k)
 
 
+def missing_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of ``ids`` (point_id) that no chunk has."""
+    return ids.select("point_id").distinct().join(chunks.select("point_id"), "point_id", "left_anti")
+
+
+def chunks_of_paths(chunks: DataFrame, paths: DataFrame, most: int | None = 500) -> DataFrame:
+    """The chunks of a set of files (collection, rel_path) in path and line order; ``most`` in all, None for every one."""
+    rows = chunks.join(paths.select("collection", "rel_path").distinct(), ["collection", "rel_path"], "left_semi").orderBy("collection", "rel_path", "start_line", "chunk_id")
+    return rows.limit(most) if most is not None else rows
+
+
 def context_sample(chunks: DataFrame, ids: list[int], path_glob: str | None = None, most: int = 200) -> DataFrame:
     """point_id, priority of the context: given ids first, then (without ids, or with a glob) others by chunk id, ``most`` in all."""
     given = chunks.where(F.col("point_id").isin(ids)).select("point_id", "chunk_id", F.lit(0).alias("priority"))

@@ -79,6 +79,27 @@ def graph_khop(spark, d):
     return graph.expand(e, c.orderBy("point_id").limit(3).select(F.col("chunk_id").alias("key")), 2, types=("IN_FILE", "DEFINES", "CALLS"))
 
 
+def service_graph(spark, d):
+    """Imports, endpoints, calls, configurations and build dependencies as edges."""
+    from skein.operators import chunking, dependencies
+    from skein.plans.relations import newest_files
+
+    files, c = newest_files(spark, d), chunks(spark, d)
+    deps = dependencies.dependencies(files.select("collection", "path", "content"))
+    return graph.service_edges(c, chunking.file_imports(files), deps, c.select("collection").distinct())
+
+
+def unknown_hits(spark, d):
+    """Points that were returned by a search and are no chunks."""
+    return search.missing_ids(chunks(spark, d), table(spark, d, "search_hits"))
+
+
+def paths_of_stale_chunks(spark, d):
+    """Chunks of files that the newest scan has with another content."""
+    changed = delta_classify(spark, d).where("change = 'modified'").select("collection", F.col("path").alias("rel_path"))
+    return search.chunks_of_paths(chunks(spark, d), changed, None).select("collection", "rel_path", "start_line", "chunk_id")
+
+
 def graph_callers(spark, d):
     c, _, e = _graph(spark, d)
     tokens = table(spark, d, "search_queries").select(F.col("query_text").alias("token")).distinct()
@@ -154,7 +175,7 @@ def latency_percentiles(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        delta_classify, stale_paths, file_metadata_scan, upsert_result, delete_result, collection_flags, graph_nodes, graph_edges, neighbor_keys, graph_khop, graph_callers, retrieval_metrics, mean_metrics,
+        delta_classify, stale_paths, file_metadata_scan, upsert_result, delete_result, collection_flags, graph_nodes, graph_edges, neighbor_keys, graph_khop, graph_callers, service_graph, unknown_hits, paths_of_stale_chunks, retrieval_metrics, mean_metrics,
         metrics_by_tag, query_stats, baseline_compare, resolved_anchors, drift_report, hard_negatives, best_positive, holdout_split, latency_percentiles,
     )
 }
@@ -201,6 +222,8 @@ resolved AS (SELECT a.anchor_id, p.chunk_id, coalesce(p.method, 'unresolved') AS
 SQL = {
     "delta_classify": STATE + """SELECT coalesce(s.collection, k.collection) AS collection, coalesce(s.path, k.path) AS path, CASE WHEN s.path IS NULL THEN 'stale' WHEN k.path IS NULL THEN 'new'
 WHEN coalesce(s.mtime <> 0 AND k.mtime <> 0 AND abs(s.mtime - k.mtime) < 0.001, false) OR coalesce(s.hash = k.hash, false) THEN 'unchanged' ELSE 'modified' END AS change FROM scan s FULL JOIN kept k ON s.collection = k.collection AND s.path = k.path""",
+    "unknown_hits": "SELECT DISTINCT point_id FROM search_hits WHERE point_id NOT IN (SELECT point_id FROM chunks)",
+    "paths_of_stale_chunks": STATE + "SELECT c.collection, c.rel_path, c.start_line, c.chunk_id FROM (SELECT DISTINCT * FROM chunks) c JOIN scan s ON s.collection = c.collection AND s.path = c.rel_path JOIN kept k ON k.collection = c.collection AND k.path = c.rel_path WHERE NOT (coalesce(s.mtime <> 0 AND k.mtime <> 0 AND abs(s.mtime - k.mtime) < 0.001, false) OR coalesce(s.hash = k.hash, false))",
     "stale_paths": STATE + "SELECT * FROM stale",
     "file_metadata_scan": "SELECT collection, rel_path, file_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY collection, rel_path ORDER BY chunk_id, point_id) AS n FROM (SELECT DISTINCT * FROM chunks) WHERE length(rel_path) > 0) WHERE n = 1",
     "upsert_result": "WITH c AS (SELECT DISTINCT point_id, collection, language, symbol_name FROM chunks) SELECT * FROM c WHERE language = 'go' UNION ALL SELECT point_id, collection, language, lower(symbol_name) FROM c WHERE language IN ('python', 'java')",

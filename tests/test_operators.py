@@ -172,6 +172,27 @@ def test_graph(spark):
     assert graph.nodes(c, resolved).groupBy("label", "key").count().where("count > 1").count() == 0
 
 
+def test_service_graph_and_deletion(spark):
+    rows = [(1, "k1", "a", "Api.java", '@GetMapping("/users/list") x', 1, None, None, "java"), (2, "k2", "b", "c.py", 'get("/api/users")', 1, None, None, "python"), (3, "k3", "b", "app.yml", "url: /api/users", 1, None, None, "yaml")]
+    c = spark.createDataFrame(rows, CHUNKS)
+    imports = spark.createDataFrame([("b", "c.py", "requests")], "collection string, path string, name string")
+    deps = spark.createDataFrame([("b", "pom.xml", "lib-a-client", "g", "1", "compile", "maven")], "collection string, path string, artifact string, `group` string, version string, scope string, ecosystem string")
+    got = {(r.type, r.src, r.dst) for r in graph.service_edges(c, imports, deps, spark.createDataFrame([("lib-a",), ("b",)], "collection string")).collect()}
+    assert got == {("IMPORTS", "b:c.py", "b::import::requests"), ("DECLARES_ENDPOINT", "k1", "users/list"), ("HTTP_CALLS", "k1", "users/list"), ("HTTP_CALLS", "k2", "api/users"), ("CONFIGURES", "k3", "api/users"), ("BUILD_DEPENDS", "b:pom.xml", "maven:g:lib-a-client"), ("RESOLVES_TO", "maven:g:lib-a-client", "lib-a")}
+    assert graph.endpoints(c).first().asDict() == {"path": "users/list", "method": "GET"}
+    c = chunk_table(spark)
+    resolved = relations.resolve_calls(relations.calls(c), relations.definitions(c))
+    n, e = graph.delete_files(graph.nodes(c, resolved), graph.edges(c, resolved), spark.createDataFrame([("a", "x.py")], "collection string, rel_path string"), c)
+    keys = {r.key for r in n.collect()}
+    assert "c1" not in keys and "a:x.py" not in keys and "a:x.py::foo" in keys and e.where("src = 'c1' or dst = 'a:x.py'").count() == 0 and e.where("src = 'c2'").count() > 0
+
+
+def test_unknown_ids_and_paths(spark):
+    c = chunk_table(spark)
+    assert rows(search.missing_ids(c, spark.createDataFrame([(1,), (9,), (9,)], "point_id int")), "point_id") == [(9,)]
+    assert [r.chunk_id for r in search.chunks_of_paths(c, spark.createDataFrame([("b", "z.py"), ("a", "y.py")], "collection string, rel_path string"), 1).collect()] == ["c2"]
+
+
 def test_changes(spark):
     scanned = spark.createDataFrame([("c", "new", "h1", 5.0), ("c", "same", "H2", 9.0), ("c", "touched", "h3", 7.0), ("c", "other", "h9", 1.0), ("c", "zero", "h5", 0.0)], "collection string, path string, hash string, mtime double")
     stored = spark.createDataFrame([("c", "same", "h2", 3.0), ("c", "touched", "x", 7.0004), ("c", "other", "h4", 2.0), ("c", "gone", "h6", 1.0), ("c", "zero", "h6", 0.0)], "collection string, path string, hash string, mtime double")

@@ -100,6 +100,12 @@ def test_ignore_patterns():
     assert not re.search(text.ignore_pattern("out/"), "out/x") and re.search(text.ignore_pattern("out/", standard=True), "out/x")
 
 
+def test_request_paths(spark):
+    for path, clean, name in [(" ./a\\b/ ", "a/b", "a"), ("/x", "x", "x"), ("", "", "codebase")]:
+        assert one(spark, text.request_path(F.col("p")), p=path) == clean and one(spark, text.collection_of(F.col("p")), p=path) == name
+    assert one(spark, text.first_tokens(F.col("t"), 2), t="A b, C d") == "a b"
+
+
 def test_intervals():
     assert [text.interval_seconds(x) for x in ("30s", "5m", "2h", "1d", "01:30:00", "x", "0s")] == [30, 300, 7200, 86400, 5400, None, None]
     assert text.six_field_cron("0 3 * * *") == "0 0 3 * * ?" and text.six_field_cron("0 0 3 * * ?") == "0 0 3 * * ?"
