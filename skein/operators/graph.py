@@ -95,11 +95,11 @@ def neighbor_keys(graph_edges: DataFrame) -> DataFrame:
 def expand(graph_edges: DataFrame, seeds: DataFrame, hops: int, most: int | None = None, hubs: bool = False, types: tuple[str, ...] = ("IN_COLLECTION", "IN_FILE", "DEFINES", "CALLS")) -> DataFrame:
     """key, hop of what is within ``hops`` undirected steps of the seeds (key); the seeds are hop 0.
 
-    Each step joins the frontier with the edges and keeps what is new; frontiers are written, so that plans stay flat. Walks
+    Each step joins the frontier with the edges and keeps what is new; edges and frontiers are written once, so that plans stay flat. Walks
     do not pass collections unless ``hubs``. With ``most`` the first by hop and key are kept, after ordering.
     """
     rows = graph_edges.where(F.col("type").isin(*[t for t in types if hubs or t != "IN_COLLECTION"])).select("src", "dst").distinct()
-    both = rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = cut(rows.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*").distinct())
     reached = seeds.select("key").distinct().withColumn("hop", F.lit(0))
     frontier = reached
     for hop in range(1, hops + 1):

@@ -41,15 +41,17 @@ def dense_topk(chunks: DataFrame, query: DataFrame, k: int, language: str | None
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def postings(docs: DataFrame, key: list[str], content: str) -> DataFrame:
-    """key, token, weight of every token of every document."""
+def postings(docs: DataFrame, key: list[str], content: str, only: DataFrame | None = None) -> DataFrame:
+    """key, token, weight of every token of every document; with ``only`` (token) of these tokens, at unchanged weights."""
     rows = docs.select(*key, text.kept_tokens(F.col(content)).alias("ts")).select(*key, F.size("ts").alias("length"), F.explode("ts").alias("token"))
+    rows = rows.join(only.select("token").distinct(), "token", "left_semi") if only is not None else rows
     return rows.groupBy(*key, "token").agg(F.count("*").alias("count"), F.first("length").alias("length")).select(*key, "token", text.term_weight(F.col("count"), F.col("length")).alias("weight"))
 
 
 def sparse_topk(docs: DataFrame, queries: DataFrame, k: int, content: str = "content", key: str = "point_id", query_key: str = "query_id", query_text: str = "query_text") -> DataFrame:
     """Per query the ``k`` documents with the greatest dot product of token weights; only documents that share a token."""
-    d, q = postings(docs, [key], content), postings(queries, [query_key], query_text).withColumnRenamed("weight", "query_weight")
+    q = postings(queries, [query_key], query_text).withColumnRenamed("weight", "query_weight")
+    d = postings(docs, [key], content, q)
     scored = d.join(q, "token").groupBy(query_key, key).agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("score"))
     return top_per(scored, [query_key], [F.desc("score"), F.col(key)], k)
 
