@@ -133,12 +133,15 @@ class Model:
         return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.sqrt(np.maximum(sizes, 1)) + self.bias
 
 
-def _ratios(buckets: np.ndarray, offsets: np.ndarray, share: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    """Log ratio of how often each bucket occurs in abusive and in other lines; ``share`` is each line's abusive part."""
+def _ratios(buckets: np.ndarray, offsets: np.ndarray, share: np.ndarray, smooth: float = 4.0) -> np.ndarray:
+    """Log ratio of how often each bucket occurs in abusive and in other lines; ``share`` is each line's abusive part.
+
+    Smoothing is in proportion to the kinds' masses, so that a bucket which occurs in neither says nothing.
+    """
     per = np.repeat(share, np.diff(offsets))
-    p = smooth + np.bincount(buckets, weights=per, minlength=BUCKETS)
-    q = smooth + np.bincount(buckets, weights=1 - per, minlength=BUCKETS)
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+    p, q = np.bincount(buckets, weights=per, minlength=BUCKETS), np.bincount(buckets, weights=1 - per, minlength=BUCKETS)
+    part = min(max(p.sum() / max(p.sum() + q.sum(), 1e-9), 1e-9), 1 - 1e-9)
+    return np.log(smooth + p / part) - np.log(smooth + q / (1 - part))
 
 
 def _regress(buckets, offsets, ratios, target, weight, decay: float, epochs: int, seed: int) -> tuple[np.ndarray, float]:
@@ -200,7 +203,7 @@ class _Bags:
         b, o = self.lines(used)
         # at first every line of an abusive document may be the one; common ones occur in the others as well
         share = (of_line / np.bincount(owner)[owner])[used]
-        model = Model(_ratios(b, o, share, smooth=0.5), 0.0)
+        model = Model(_ratios(b, o, share, smooth=2.0), 0.0)
         for _ in range(rounds):
             margin = model.margins(self.buckets, self.offsets)
             top = np.maximum.reduceat(margin, self.starts)
