@@ -3,7 +3,8 @@
 Each file becomes a token sequence, and a Re-Pair grammar is inferred over it: round by round, every pair of symbols that
 is locally the most frequent of its file is replaced by a rule, until no pair repeats. How little of the sequence is
 left tells how much its rules are reused; what cannot be compressed and stands in literals is data; and rules that
-files of several repositories share are copied code. Marks that tools leave in comments, file names and folders are read
+files of several repositories share are copied code. As a rule needs a repetition within its file, content-defined
+segments of the sequence are compared between repositories as well. Marks that tools leave in comments, file names and folders are read
 as further evidence. Whole batches of files are worked on as flat numpy arrays.
 """
 
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.distinctive import SLICE, _powers, mix64
@@ -29,7 +30,7 @@ REUSE, REUSE_TOKENS = 0.13, 250
 DATA_SHARE, DATA_CHARS = 0.72, 1_200
 #: A file is minified if its lines are this long on average and this part of it is blank.
 LINE, BLANK = 180, 0.1
-#: A file is a copy if shared rules cover this part of its tokens.
+#: A file is a copy if shared rules and segments together cover this part of its tokens.
 SHARED = 0.5
 
 # Folders that package managers and developers keep other projects' code in.
@@ -169,17 +170,58 @@ def code_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return symbols, np.searchsorted(bounds, start, side="right")
 
 
-def grammars(symbols: np.ndarray, owner: np.ndarray, files: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def segments(symbols: np.ndarray, owner: np.ndarray, files: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(file, name, start, tokens) of the segments that each file's sequence falls into.
+
+    A segment begins where the hash of the next four tokens is the least of LONG_RULE - 1 places on either side, so that equal
+    code is cut alike wherever it stands. Segments have LONG_RULE tokens or more, files of fewer none.
+    """
+    count = np.bincount(owner, minlength=files)
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    n, reach = len(symbols), LONG_RULE - 1
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none, none
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    gram = symbols.copy()
+    for k in (1, 2, 3):
+        gram[:-k] = mix64(gram[:-k] * np.uint64(0x9E3779B97F4A7C15) + symbols[k:])
+    place = np.arange(n) - first[owner]
+    left = count[owner] - place
+    gram[left < 4] = most
+    # files lie LONG_RULE - 1 places apart: no window sees another file
+    at = np.arange(n) + reach * (owner + 1)
+    wide = np.full(n + reach * (files + 2), most)
+    wide[at] = gram
+    least = wide
+    span = 1
+    while span < reach:
+        step = min(span, reach - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    cuts = (gram < least[at - reach]) & (gram <= least[at + 1]) & (place >= LONG_RULE) & (left >= LONG_RULE)
+    cuts |= (place == 0) & (left >= LONG_RULE)
+    start = np.flatnonzero(cuts)
+    file = owner[start]
+    end = np.append(start[1:], n)
+    end = np.minimum(end, (first + count)[file])
+    up, down = _powers(1 << int(n).bit_length())
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((mix64(symbols) | np.uint64(1)) * up[:n])])
+    return file, mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), place[start], end - start
+
+
+def grammars(symbols: np.ndarray, owner: np.ndarray, files: int, places: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     """(tokens, grammar size, (file, rule, covered)) of each file's Re-Pair grammar.
 
     A round replaces, file by file, every pair that occurs at least twice and more often than the pairs it overlaps
     with (ties by the pair's hash); rules are named by what they stand for. The grammar's size is what is left of the
     sequence plus two for every rule. The rules listed stand for at least LONG_RULE tokens; ``covered`` is how many
-    tokens of the file they stand for together.
+    tokens of the file they stand for together. With ``places`` every use of such a rule is listed instead: (file, rule, start, tokens).
     """
     tokens = np.bincount(owner, minlength=files)
     size = np.zeros(files, np.int64)
-    long_file, long_rule, long_cover = [], [], []
+    long_file, long_rule, long_cover, long_start = [], [], [], []
+    start = np.arange(len(symbols)) - (np.cumsum(tokens) - tokens)[owner]
     span = np.ones(len(symbols), np.int64)
     while len(symbols) > 1:
         name = mix64(symbols[:-1] * np.uint64(0x9E3779B97F4A7C15) + (symbols[1:] ^ (symbols[1:] >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -212,17 +254,25 @@ def grammars(symbols: np.ndarray, owner: np.ndarray, files: int) -> tuple[np.nda
         np.add.at(size, owner[rules], 2)
         whole = span[rules] + span[rules + 1]
         long = whole >= LONG_RULE
-        long_file.append(owner[rules[long]])
-        long_rule.append(name[rules[long]])
-        long_cover.append((whole * times)[long])
+        if places:
+            uses = hit[span[hit] + span[hit + 1] >= LONG_RULE]
+            long_file.append(owner[uses])
+            long_rule.append(name[uses])
+            long_cover.append(span[uses] + span[uses + 1])
+            long_start.append(start[uses])
+        else:
+            long_file.append(owner[rules[long]])
+            long_rule.append(name[rules[long]])
+            long_cover.append((whole * times)[long])
         symbols[hit] = name[hit]
         span[hit] += span[hit + 1]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        symbols, owner, span = symbols[keep], owner[keep], span[keep]
+        symbols, owner, span, start = symbols[keep], owner[keep], span[keep], start[keep]
     size += np.bincount(owner, minlength=files)
     none = np.zeros(0, np.int64)
-    return tokens, size, (np.concatenate([none, *long_file]), np.concatenate([none.view(np.uint64), *long_rule]), np.concatenate([none, *long_cover]))
+    found = (np.concatenate([none, *long_file]), np.concatenate([none.view(np.uint64), *long_rule]), np.concatenate([none, *long_cover]))
+    return tokens, size, (*found[:2], np.concatenate([none, *long_start]), found[2]) if places else found
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -237,7 +287,7 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def file_grammars(files: DataFrame) -> DataFrame:
-    """record_id, collection, tokens, grammar (its size), evidence array<string>, rules array<(rule, covered)> of every row."""
+    """record_id, collection, tokens, grammar (its size), evidence array<string>, rules array<(rule, start, span)> of every row: uses of rules, and segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,10 +295,12 @@ def file_grammars(files: DataFrame) -> DataFrame:
             for a, b in _slices(texts):
                 part = texts[a:b]
                 symbols, owner = code_tokens(part)
-                tokens, size, (at, rule, covered) = grammars(symbols, owner, b - a)
+                whole = segments(symbols, owner, b - a)
+                tokens, size, uses = grammars(symbols, owner, b - a, places=True)
+                at, rule, start, span = map(np.concatenate, zip(whole, uses))
                 order = np.argsort(at, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=b - a))]).astype(np.int32)
-                rules = pa.StructArray.from_arrays([pa.array(rule[order].view(np.int64)), pa.array(covered[order])], names=["rule", "covered"])
+                rules = pa.StructArray.from_arrays([pa.array(rule[order].view(np.int64)), pa.array(start[order].astype(np.int32)), pa.array(span[order].astype(np.int32))], names=["rule", "start", "span"])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(tokens), pa.array(size), pa.array([evidence(p, t) for p, t in zip(paths[a:b], part)], type=pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(ends), rules)],
                     names=["record_id", "collection", "tokens", "grammar", "evidence", "rules"],
@@ -257,21 +309,24 @@ def file_grammars(files: DataFrame) -> DataFrame:
     rows = files.where(F.col("content").isNotNull()).select("record_id", "collection", clean_path(F.col("rel_path")).alias("path"), "content")
     rows = rows.repartition(width(files.sparkSession), "record_id")
     kind = files.schema["record_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"record_id {kind}, collection string, tokens bigint, grammar bigint, evidence array<string>, rules array<struct<rule bigint, covered bigint>>")
+    return rows.mapInArrow(run, f"record_id {kind}, collection string, tokens bigint, grammar bigint, evidence array<string>, rules array<struct<rule bigint, start int, span int>>")
 
 
 def classify_files(files: DataFrame) -> DataFrame:
-    """record_id, tokens, grammar, shared (part of its tokens under shared rules), evidence, kinds, other (not hand-written).
+    """record_id, tokens, grammar, shared (part of its tokens under shared rules and segments), evidence, kinds, other (not hand-written).
 
     ``kinds``: generated (a mark, or a grammar below REUSE of at least REUSE_TOKENS tokens), minified, vendored (a mark, or
-    rules shared by several collections cover SHARED of it), blob (literal data whose tokens the grammar hardly
+    rules and segments shared by several collections together cover SHARED of it), blob (literal data whose tokens the grammar hardly
     shortens, or that is nothing but table rows). Rows with null content give no row, an empty content has no kind; a null path is an empty one;
     repeated rows count once. Other columns are ignored.
     """
     found = cut(file_grammars(files))
-    uses = found.select("record_id", "collection", "tokens", F.explode("rules").alias("r")).select("record_id", "collection", "tokens", "r.rule", "r.covered")
+    uses = found.select("record_id", "collection", "tokens", F.explode("rules").alias("r")).select("record_id", "collection", "tokens", "r.*")
     common = uses.select("rule", "collection").distinct().groupBy("rule").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("rule")
-    copied = uses.join(common, "rule", "left_semi").groupBy("record_id").agg(F.max(F.col("covered") / F.col("tokens")).alias("shared"))
+    spans = uses.join(common, "rule", "left_semi").select("record_id", "tokens", "start", (F.col("start") + F.col("span")).alias("end")).distinct()
+    before = F.max("end").over(Window.partitionBy("record_id", "tokens").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("before", F.lit(0))))
+    copied = spans.withColumn("before", before).groupBy("record_id", "tokens").agg((F.sum(fresh) / F.col("tokens")).alias("shared")).groupBy("record_id").agg(F.max("shared").alias("shared"))
     rows = found.drop("rules", "collection").groupBy("record_id").agg(F.max("tokens").alias("tokens"), F.max("grammar").alias("grammar"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence"))
     rows = rows.join(copied, "record_id", "left").na.fill(0.0, ["shared"])
     has = lambda kind: F.array_contains("evidence", kind)

@@ -109,6 +109,26 @@ def test_copies_in_several_repositories(spark):
     assert kinds_of(spark, ("a", "m/x.js", copied), ("a", "n/y.js", copied)) == [[], []]
 
 
+def test_copies_without_repetition(spark):
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(400)]
+    line = lambda: f"{rng.choice(words)} = {rng.choice(words)}({rng.choice(words)}, {rng.choice(words)});\n"
+    body, own, other = ("".join(line() for _ in range(60)) for _ in range(3))
+    files = [("a", "m/x.js", body), ("b", "n/y.js", "".join(line() for _ in range(9)) + body), ("a", "m/own.js", own), ("b", "n/part.js", other + body[: len(body) // 3]), ("a", "m/s.js", "f(x);\n"), ("b", "n/s.js", "f(x);\n")]
+    assert kinds_of(spark, *files) == [["vendored"], ["vendored"], [], [], [], []]
+    assert kinds_of(spark, ("a", "m/x.js", body), ("a", "n/y.js", body)) == [[], []]
+
+
+def test_segments_do_not_see_their_neighbours():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 50, 500).astype(np.uint64)
+    flat = np.concatenate([rng.integers(0, 50, 40).astype(np.uint64), x, np.full(10, 3, np.uint64), x])
+    file, name, start, span = handwritten.segments(flat, np.repeat([0, 1, 3, 4], [40, 500, 10, 500]), 5)
+    of = lambda i: list(zip(name[file == i].tolist(), start[file == i].tolist(), span[file == i].tolist()))
+    assert of(1) == of(4) and len(of(1)) > 3 and not of(2) and not of(3)
+    assert all(sum(s for *_, s in of(i)) == n and min(s for *_, s in of(i)) >= 32 for i, n in ((0, 40), (1, 500)))
+
+
 def test_grammar_sizes():
     symbols = np.array([1, 2, 3, 1, 2, 3, 1, 2, 3, 9, 8, 7], dtype=np.uint64)
     tokens, size, (at, _, covered) = handwritten.grammars(symbols, np.array([0] * 9 + [1] * 3), 2)
