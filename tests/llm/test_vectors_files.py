@@ -119,6 +119,19 @@ def test_copies_without_repetition(spark):
     assert kinds_of(spark, ("a", "m/x.js", body), ("a", "n/y.js", body)) == [[], []]
 
 
+def test_random_literals_are_blobs(spark):
+    rng = random.Random(21)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    short = "KEYS = [\n" + "".join(", ".join(f'"{some(letters, 8)}"' for _ in range(6)) + ",\n" for _ in range(50)) + "]\n"
+    keyed = "const t = {\n" + "".join(f"  '{some(letters, 5)}': '{some(letters, 12)}',\n" for _ in range(90)) + "};\n"
+    nouns = [some("aeioulmnrst", 2) + e for e in ("ing", "tion", "ment", "ness", "able", "er") for _ in range(15)]
+    prose = "MESSAGES = [\n" + "".join(f'    "The {rng.choice(nouns)} of the {rng.choice(nouns)} was not {rng.choice(nouns)} here",\n' for _ in range(60)) + "]\n"
+    files = [("a", "src/k.py", short), ("a", "src/k.js", keyed), ("a", "src/m.py", prose), ("a", "src/i.py", "import os\n" + short), ("a", "src/k.json", short), ("a", "src/c.py", CODE * 3 + short[: len(short) // 5])]
+    assert not handwritten.is_data("src/k.py", short, len(short))
+    assert kinds_of(spark, *files) == [["blob"], ["blob"], [], [], [], []]
+
+
 def test_segments_do_not_see_their_neighbours():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 50, 500).astype(np.uint64)
