@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text
 from skein.operators.search import top_per
+from skein.session import cut
 
 
 def calls(chunks: DataFrame) -> DataFrame:
@@ -120,15 +121,37 @@ def cross_references(chunks: DataFrame, call_sites: DataFrame, symbols: DataFram
     return best.select("symbol_name", "collection", "rel_path", "start_line", "best.match_type", "best.score")
 
 
+def _holding(texts: DataFrame, names: DataFrame, sizes: list[int], longest: int) -> DataFrame:
+    """symbol_name, collection of the names (symbol_name, size, key: its first ``size`` characters) that a text (collection, t) holds.
+
+    Every place of a text is looked up by its next characters, as many as the sizes say: an equi-join whatever the number of names.
+    """
+    step = 1_024  # long texts are cut first, with overlaps: a place in the middle of a string is found from its start
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / step)), lambda i: F.substr("t", (i * step + 1).cast("int"), F.lit(step + longest - 1)))
+    rows = texts.where(F.length("t") > 0).select("collection", F.explode(pieces).alias("t"))
+    rows = rows.select("collection", F.explode(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substr("t", i, F.lit(longest)))).alias("t"))
+    keys = F.array(*[F.struct(F.lit(n).alias("size"), F.substring("t", 1, n).alias("key"), F.substring("t", 1, 2 * n - 1).alias("t")) for n in sizes])
+    rows = rows.select("collection", F.explode(keys).alias("k")).select("collection", "k.*").where(F.length("key") == F.col("size"))
+    return rows.join(names, ["size", "key"]).where(F.startswith("t", F.col("symbol_name"))).select("symbol_name", "collection").distinct()
+
+
 def usages(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """symbol_name, defined_in, used_in: collections whose chunks mention a symbol that another collection defines.
 
-    ``symbols`` is a stated set of at most 10,000 names, sent to all tasks.
+    A mention is a part of the content, also of a longer word. ``symbols`` may be of any number; blank ones define nothing.
     """
-    names = symbols.select("symbol_name").distinct().limit(10_000)
-    homes = chunks.join(F.broadcast(names), "symbol_name", "left_semi").select("symbol_name", F.col("collection").alias("defined_in")).distinct()
-    mentions = chunks.select("collection", "content").join(F.broadcast(names), F.contains("content", F.col("symbol_name"))).select("symbol_name", F.col("collection").alias("used_in")).distinct()
-    return homes.join(mentions, "symbol_name").where(F.col("defined_in") != F.col("used_in"))
+    wanted = symbols.where(F.length("symbol_name") > 0).select("symbol_name").distinct()
+    homes = cut(chunks.select("symbol_name", F.col("collection").alias("defined_in")).distinct().join(wanted, "symbol_name", "left_semi"))
+    size = F.pow(F.lit(2), F.floor(F.log2(F.length("symbol_name") + 0.5))).cast("int")  # the power of two that its length reaches
+    names = homes.select("symbol_name").distinct().withColumn("size", size).withColumn("key", F.expr("substring(symbol_name, 1, size)")).withColumn("word", F.col("symbol_name").rlike("^[A-Za-z0-9_]+$"))
+    kinds = {r.word: r for r in names.groupBy("word").agg(F.sort_array(F.collect_set("size")).alias("sizes"), F.max(F.length("symbol_name")).alias("longest")).collect()}
+    texts = chunks.select("collection", F.col("content").alias("t"))
+    words = texts.select("collection", F.explode(F.array_distinct(F.split("t", "[^A-Za-z0-9_]+"))).alias("t")).distinct()  # pre-aggregated: a collection's words
+    found = homes.select("symbol_name", F.col("defined_in").alias("collection")).limit(0)
+    for word, rows in ((True, words), (False, texts)):
+        if word in kinds:
+            found = found.union(_holding(rows, names.where(F.col("word") == word).drop("word"), kinds[word].sizes, kinds[word].longest))
+    return homes.join(found.withColumnRenamed("collection", "used_in"), "symbol_name").where(F.col("defined_in") != F.col("used_in"))
 
 
 def service_edges(call_sites: DataFrame, defined: DataFrame) -> DataFrame:

@@ -161,6 +161,20 @@ def test_matching_paths_equal_brute_force(spark):
     assert got == {(c, p, e, q) for c, p in paths for e, q in paths if c != e and match(p, q)}
 
 
+def test_usages_of_any_number_of_names(spark):
+    names = [f"n{i:05}" for i in range(10_050)]
+    kind = "symbol_name string, collection string, content string"
+    c = spark.createDataFrame([(n, "a", "x") for n in names] + [("z", "b", " ".join(names[:6_000])), ("z", "b", "_".join(names[6_000:])), (None, "b", None), ("y", "c", "n0")], kind)
+    got = relations.usages(c, c.select("symbol_name")).where("symbol_name like 'n%'")
+    assert rows(got, "symbol_name", "defined_in", "used_in") == [(n, "a", "b") for n in names]
+    odd = ["a.b()", "\u00e4\u00f6", "a", "ab", "abc", "abcd", "a" * 3_000, "operator +", "", "absent"]
+    uses = ["xa.b()", "-\u00e4\u00f6\u00fc", "xabcd", "b" * 1_500 + "a" * 3_000, "(operator +)", None, ""]
+    c = spark.createDataFrame([(n, "a", "-") for n in odd] + [("q", f"u{i}", t) for i, t in enumerate(uses)], kind)
+    want = sorted((n, "a", f"u{i}") for n in odd for i, t in enumerate(uses) if n and t and n in t)
+    assert rows(relations.usages(c, c.select("symbol_name").where("symbol_name <> 'q'")), "symbol_name", "defined_in", "used_in") == want
+    assert relations.usages(c, c.select("symbol_name").limit(0)).count() == 0
+
+
 def test_graph(spark):
     c = chunk_table(spark)
     resolved = relations.resolve_calls(relations.calls(c), relations.definitions(c))
