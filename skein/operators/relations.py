@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text
+from skein.operators import chunking
 from skein.operators.search import top_per
 from skein.session import cut
 
@@ -181,3 +182,16 @@ def merged_files(chunks: DataFrame) -> DataFrame:
     """collection, rel_path, content: a file's chunk contents in line order, each after a line feed."""
     parts = F.array_sort(F.collect_list(F.struct("start_line", "point_id", F.coalesce("content", F.lit("")).alias("content"))))
     return chunks.groupBy("collection", "rel_path").agg(F.array_join(F.transform(parts, lambda p: F.concat(F.lit("\n"), p["content"])), "").alias("content"))
+
+
+def call_imports(chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """collection, rel_path, name of what the files of ``chunks`` import, for resolve_calls.
+
+    Read from ``files`` (collection, path, language, content); a file that is not there is put together from its chunks.
+    """
+    rest = chunks if files is None else chunks.join(files.select("collection", F.col("path").alias("rel_path")).distinct(), ["collection", "rel_path"], "left_anti")
+    languages = rest.groupBy("collection", "rel_path").agg(F.min("language").alias("language"))
+    whole = merged_files(rest).join(languages, ["collection", "rel_path"]).select("collection", F.col("rel_path").alias("path"), "language", "content")
+    if files is not None:
+        whole = whole.unionByName(files.select("collection", "path", "language", "content"))
+    return chunking.file_imports(whole).withColumnRenamed("path", "rel_path")

@@ -106,7 +106,7 @@ def normal_names(spark, d):
 
 def resolved_calls(spark, d):
     c = chunks(spark, d)
-    return relations.resolve_calls(relations.calls(c), relations.definitions(c)).select("point_id", "token", "target")
+    return relations.resolve_calls(relations.calls(c), relations.definitions(c), relations.call_imports(c, newest_files(spark, d))).select("point_id", "token", "target")
 
 
 def url_path_match(spark, d):

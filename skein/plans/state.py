@@ -56,8 +56,10 @@ def collection_flags(spark, d):
 
 
 def _graph(spark, d):
+    from skein.plans.relations import newest_files
+
     c = chunks(spark, d)
-    resolved = relations.resolve_calls(relations.calls(c), relations.definitions(c))
+    resolved = relations.resolve_calls(relations.calls(c), relations.definitions(c), relations.call_imports(c, newest_files(spark, d)))
     return c, resolved, graph.edges(c, resolved)
 
 

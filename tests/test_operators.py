@@ -138,6 +138,25 @@ def test_imported_receiver_decides(spark):
     assert got == {1: "a:svc/one.py::run", 2: "a::callee::Svc.run"}
 
 
+def test_queries_and_engine_read_imports(spark, tmp_path):
+    from skein.engine import Engine
+    from skein.plans import relations as plans
+    from skein.plans import state as state_plans
+
+    c = spark.createDataFrame([
+        (1, "c1", "a", "svc/one.py", "def run(): pass", 1, "run", "function", "python"), (2, "c2", "a", "other/two.py", "def run(): pass", 1, "run", "function", "python"),
+        (3, "c3", "a", "m.py", "svc.run()", 5, None, None, "python"), (4, "c4", "a", "n.py", "svc.run()", 1, None, None, "python"), (5, "c5", "a", "o.py", "import svc\nsvc.run()", 1, None, None, "python"),
+    ], CHUNKS)
+    files = spark.createDataFrame([(1, "a", "m.py", "python", "import svc\n\n\n\nsvc.run()", 1), (2, "a", "n.py", "python", "svc.run()", 1)], "record_id int, collection string, rel_path string, language string, content string, scanned_at int")
+    c.write.parquet(f"{tmp_path}/chunks.parquet")
+    files.write.parquet(f"{tmp_path}/file_records.parquet")
+    want = [(3, "a:svc/one.py::run"), (4, "a::callee::svc.run"), (5, "a:svc/one.py::run")]
+    assert rows(plans.resolved_calls(spark, str(tmp_path)).where("token = 'svc.run'"), "point_id", "target") == want
+    assert rows(state_plans.graph_edges(spark, str(tmp_path)).where("token = 'svc.run'"), "src", "dst") == [(f"c{i}", t) for i, t in want]
+    near = Engine(spark, c.withColumn("dense_vector", F.lit(None).cast("array<float>"))).expand_search_context(["c5"], 2)
+    assert "c1" in {r.chunk_id for r in near.collect()}
+
+
 def test_service_edges_and_usages(spark):
     c = chunk_table(spark)
     edges = relations.service_edges(relations.calls(c), relations.definitions(c))
