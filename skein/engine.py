@@ -137,9 +137,12 @@ class Engine:
 
     def expand_search_context(self, chunk_ids: list[str], hops: int = 1) -> DataFrame:
         """The chunks within ``hops`` (2 at most) of the given ones, with their payload; ids that are no chunks are skipped."""
-        resolved = relations.resolve_calls(relations.calls(self.chunks), relations.definitions(self.chunks), relations.call_imports(self.chunks))
+        imports = relations.call_imports(self.chunks)
+        resolved = relations.resolve_calls(relations.calls(self.chunks), relations.definitions(self.chunks), imports)
         seeds = self.spark.createDataFrame([(c,) for c in chunk_ids], "key string")
-        near = graph.expand(graph.edges(self.chunks, resolved), seeds, min(max(hops, 1), 2))
+        manifests = relations.merged_files(self.chunks.where(text.is_manifest(F.col("rel_path")))).withColumnRenamed("rel_path", "path")
+        others = graph.service_edges(self.chunks, imports.withColumnRenamed("rel_path", "path"), dependencies.dependencies(manifests), self.chunks.select("collection").distinct())
+        near = graph.expand(graph.edges(self.chunks, resolved).union(others), seeds, min(max(hops, 1), 2))
         return near.join(self.chunks.drop("dense_vector"), F.col("key") == F.col("chunk_id")).drop("key")
 
     def get_health(self) -> DataFrame:

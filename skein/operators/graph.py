@@ -12,6 +12,8 @@ from skein.session import cut
 
 #: Labels that connect everything; a walk passes them only if asked to.
 HUBS = ["Collection"]
+#: Edges that lead to them.
+HUB_TYPES = ["IN_COLLECTION", "RESOLVES_TO"]
 
 
 def nodes(chunks: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -87,18 +89,25 @@ def delete_files(graph_nodes: DataFrame, graph_edges: DataFrame, files: DataFram
 
 
 def neighbor_keys(graph_edges: DataFrame) -> DataFrame:
-    """chunk_id, keys: how many distinct symbols each chunk defines or calls."""
-    rows = graph_edges.where(F.col("type").isin("DEFINES", "CALLS")).select(F.col("src").alias("chunk_id"), "dst").distinct()
+    """chunk_id, keys: how many distinct symbols, paths and imports each chunk has of the families that ``graph_edges`` holds.
+
+    Symbols it defines or calls, paths it declares, calls or configures, and what its file imports.
+    """
+    own = graph_edges.where(F.col("type").isin("DEFINES", "CALLS", "DECLARES_ENDPOINT", "HTTP_CALLS", "CONFIGURES")).select(F.col("src").alias("chunk_id"), "dst")
+    imports = graph_edges.where(F.col("type") == "IMPORTS").select(F.col("src").alias("file"), "dst")
+    shared = graph_edges.where(F.col("type") == "IN_FILE").select(F.col("src").alias("chunk_id"), F.col("dst").alias("file")).join(imports, "file").select("chunk_id", "dst")
+    rows = own.unionByName(shared).distinct()
     return rows.groupBy("chunk_id").agg(F.count("*").alias("keys"))
 
 
-def expand(graph_edges: DataFrame, seeds: DataFrame, hops: int, most: int | None = None, hubs: bool = False, types: tuple[str, ...] = ("IN_COLLECTION", "IN_FILE", "DEFINES", "CALLS")) -> DataFrame:
+def expand(graph_edges: DataFrame, seeds: DataFrame, hops: int, most: int | None = None, hubs: bool = False, types: tuple[str, ...] | None = None) -> DataFrame:
     """key, hop of what is within ``hops`` undirected steps of the seeds (key); the seeds are hop 0.
 
     Each step joins the frontier with the edges and keeps what is new; edges and frontiers are written once, so that plans stay flat. Walks
-    do not pass collections unless ``hubs``. With ``most`` the first by hop and key are kept, after ordering.
+    take edges of any type, or of ``types``, and do not pass collections unless ``hubs``. With ``most`` the first by hop and key are kept, after ordering.
     """
-    rows = graph_edges.where(F.col("type").isin(*[t for t in types if hubs or t != "IN_COLLECTION"])).select("src", "dst").distinct()
+    rows = graph_edges if types is None else graph_edges.where(F.col("type").isin(*types))
+    rows = (rows if hubs else rows.where(~F.col("type").isin(*HUB_TYPES))).select("src", "dst").distinct()
     both = cut(rows.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*").distinct())
     reached = seeds.select("key").distinct().withColumn("hop", F.lit(0))
     frontier = reached

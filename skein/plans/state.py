@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import evaluation, graph, incremental, relations, search, state
 from skein.plans.search import chunks
-from skein.session import table
+from skein.session import cut, table
 
 
 def scanned_files(spark, d):
@@ -91,6 +91,21 @@ def service_graph(spark, d):
     return graph.service_edges(c, chunking.file_imports(files), deps, c.select("collection").distinct())
 
 
+def _whole_graph(spark, d):
+    return _graph(spark, d)[2].union(service_graph(spark, d))
+
+
+def neighbor_keys_all(spark, d):
+    """neighbor_keys over all families of edges."""
+    return graph.neighbor_keys(cut(_whole_graph(spark, d)))
+
+
+def graph_khop_all(spark, d):
+    """Two steps over all families of edges from every chunk whose id is divisible by 100."""
+    seeds = chunks(spark, d).where("point_id % 100 = 0").select(F.col("chunk_id").alias("key"))
+    return graph.expand(_whole_graph(spark, d), seeds, 2)
+
+
 def unknown_hits(spark, d):
     """Points that were returned by a search and are no chunks."""
     return search.missing_ids(chunks(spark, d), table(spark, d, "search_hits"))
@@ -177,7 +192,7 @@ def latency_percentiles(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        delta_classify, stale_paths, file_metadata_scan, upsert_result, delete_result, collection_flags, graph_nodes, graph_edges, neighbor_keys, graph_khop, graph_callers, service_graph, unknown_hits, paths_of_stale_chunks, retrieval_metrics, mean_metrics,
+        delta_classify, stale_paths, file_metadata_scan, upsert_result, delete_result, collection_flags, graph_nodes, graph_edges, neighbor_keys, graph_khop, graph_callers, service_graph, neighbor_keys_all, graph_khop_all, unknown_hits, paths_of_stale_chunks, retrieval_metrics, mean_metrics,
         metrics_by_tag, query_stats, baseline_compare, resolved_anchors, drift_report, hard_negatives, best_positive, holdout_split, latency_percentiles,
     )
 }

@@ -157,6 +157,18 @@ def test_queries_and_engine_read_imports(spark, tmp_path):
     assert "c1" in {r.chunk_id for r in near.collect()}
 
 
+def test_keys_and_walks_of_all_families(spark):
+    e = spark.createDataFrame([
+        ("IN_FILE", "c1", "a:f"), ("IN_FILE", "c2", "a:f"), ("DEFINES", "c1", "s"), ("CALLS", "c1", "s"), ("IMPORTS", "a:f", "i"), ("DECLARES_ENDPOINT", "c1", "/p"), ("HTTP_CALLS", "c3", "/p"), ("HTTP_CALLS", "c1", "/p"),
+        ("CONFIGURES", "c4", "/q"), ("RESOLVES_TO", "x", "a"), ("IN_COLLECTION", "a:f", "a"), ("BUILD_DEPENDS", "a:f", "x"),
+    ], "type string, src string, dst string")
+    assert rows(graph.neighbor_keys(e), "chunk_id", "keys") == [("c1", 3), ("c2", 1), ("c3", 1), ("c4", 1)]
+    walk = lambda **k: rows(graph.expand(e, spark.createDataFrame([("c1",)], "key string"), 2, **k), "key", "hop")
+    assert walk() == [("/p", 1), ("a:f", 1), ("c1", 0), ("c2", 2), ("c3", 2), ("i", 2), ("s", 1), ("x", 2)]
+    assert walk(types=("IN_FILE", "DEFINES")) == [("a:f", 1), ("c1", 0), ("c2", 2), ("s", 1)]
+    assert ("a", 2) in walk(hubs=True)
+
+
 def test_service_edges_and_usages(spark):
     c = chunk_table(spark)
     edges = relations.service_edges(relations.calls(c), relations.definitions(c))
