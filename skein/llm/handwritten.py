@@ -123,10 +123,10 @@ def noise(texts: list[str]) -> np.ndarray:
     return np.where(most > 0, size / np.maximum(most, 1), 0)
 
 
-def head_comments(text: str, lines: int = 12) -> list[str]:
-    """The text of the comments before the first code, of at most ``lines`` lines that are not blank."""
+def head_comments(text: str) -> list[str]:
+    """The text of the comments before the first code."""
     found, seen, at, inside = [], 0, 0, False
-    while seen < lines and at < len(text):
+    while at < len(text):
         end = text.find("\n", at)
         end = len(text) if end < 0 else end
         line = text[at:end].rstrip("\r")

@@ -132,6 +132,12 @@ def test_random_literals_are_blobs(spark):
     assert kinds_of(spark, *files) == [["blob"], ["blob"], [], [], [], []]
 
 
+def test_marks_after_a_long_licence():
+    licence = "/*\n" + "".join(f" * Line {i} of the licence.\n" for i in range(14)) + " */\n\n"
+    assert handwritten.evidence("src/a.go", licence + "// Code generated by tool. DO NOT EDIT.\npackage a\n") == ["generated"]
+    assert handwritten.evidence("src/a.go", licence + "package a\n\n// Code generated by tool. DO NOT EDIT.\n") == []
+
+
 def test_segments_do_not_see_their_neighbours():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 50, 500).astype(np.uint64)
