@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.operators.incremental import pending_records
-from skein.session import table
+from skein.operators.incremental import ManifestStore, committed_manifest, newest_records, pending_records
+from skein.session import checkpoint_dir, table
 
 
-def p7_pending(spark: SparkSession, d: str) -> DataFrame:
-    return pending_records(table(spark, d, "file_records"), table(spark, d, "file_metadata"), table(spark, d, "index_runs"))
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """What a run of a manifest store puts out: the earlier runs are its history, the newest records its listing.
 
+    The tables have no sizes; a null size is equal to a null one. The store lies in the shared folder.
+    """
+    store = ManifestStore(spark, f"{checkpoint_dir(spark)}/manifest-{uuid.uuid4().hex}", ("collection", "path"))
+    no_size = F.lit(None).cast("bigint").alias("size")
+    history = committed_manifest(table(spark, d, "file_metadata"), table(spark, d, "index_runs"))
+    store.adopt(history.select("collection", "path", no_size, F.col("hash").alias("checksum")))
+    listing = newest_records(table(spark, d, "file_records")).select("collection", "path", no_size, F.col("hash").alias("checksum"), "record_id")
+    batch = store.run(listing, lambda todo: todo.select("record_id"), once=False)
+    return store.output(batch).select("record_id") if batch else listing.limit(0).select("record_id")
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_pending(spark, d).select("record_id")
+
+def p7_pending(spark: SparkSession, d: str) -> DataFrame:
+    """The same as one lazy plan, with collection, path and hash."""
+    return pending_records(table(spark, d, "file_records"), table(spark, d, "file_metadata"), table(spark, d, "index_runs"))
 
 
 P7 = r"""

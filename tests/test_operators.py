@@ -283,18 +283,74 @@ def test_pending_records(spark):
     assert incremental.pending_records(f, m.limit(0), r.limit(0)).count() == 4
 
 
-def test_manifest_store_survives_failures(spark, tmp_path):
-    store = incremental.ManifestStore(spark, tmp_path.as_uri())
-    listing = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("b", 2, "y")], "path string, size long, checksum string")
+LISTING = "path string, size long, checksum string"
+
 
-    def broken(df):
-        raise RuntimeError("executor lost")
+def _broken(df):
+    raise RuntimeError("executor lost")
 
+
+def test_manifest_store_survives_failures(spark, tmp_path):
+    store = incremental.ManifestStore(spark, tmp_path.as_uri())
+    listing = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("b", 2, "y"), (None, None, "n")], LISTING)
     with pytest.raises(RuntimeError):
-        store.run(listing, broken)
+        store.run(listing, _broken)
+    assert store.output() is None and store.manifest().count() == 0
     first = store.run(listing, lambda df: df)
     assert store.run(listing, lambda df: df) is None
-    more = listing.unionByName(spark.createDataFrame([("a", 1, "z")], "path string, size long, checksum string"))
+    more = listing.where("path = 'b'").unionByName(spark.createDataFrame([("a", 1, "z")], LISTING))
     second = store.run(more, lambda df: df)
-    assert first != second and spark.read.parquet(f"{store.out}/batch={first}").count() == 2 and spark.read.parquet(f"{store.out}/batch={second}").count() == 1
-    assert store.pending(more).count() == 0
+    assert first != second and store.output(first).count() == 3 and [r.checksum for r in store.output(second).collect()] == ["z"]
+    assert store.pending(more).count() == 0 and store.run(listing.limit(0), lambda df: df) is None
+
+
+def test_manifest_store_takes_content_that_comes_back(spark, tmp_path):
+    store = incremental.ManifestStore(spark, tmp_path.as_uri(), snapshot_every=3)
+    versions = ["A", "B", "A", "A", "B", "B", "C", "A"]
+    ran = [store.run(spark.createDataFrame([("f", 1, v), ("g", 1, "same")], LISTING), lambda df: df) is not None for v in versions]
+    assert ran == [True, True, True, False, True, False, True, True]
+    assert sorted(r.checksum for r in store.output().collect()) == ["A", "A", "A", "B", "B", "C", "same"]
+    assert [c["whole"] for c in store.commits()] == [False, False, True, False, False, True] and store.manifest().count() == 2
+
+
+def test_manifest_store_crash_then_another_listing(spark, tmp_path):
+    """A run dies after its output was written, or before its commit; the next one sees more files: nothing is stored twice."""
+    store = incremental.ManifestStore(spark, tmp_path.as_uri())
+    a, b = spark.createDataFrame([("a", 1, "x")], LISTING), spark.createDataFrame([("b", 1, "x")], LISTING)
+    commit = store._commit
+    store._commit = lambda *_: _broken(None)
+    with pytest.raises(RuntimeError):
+        store.run(a, lambda df: df)
+    assert store.output() is None
+    store._commit = commit
+    store.run(a.unionByName(b), lambda df: df)
+    assert sorted(r.path for r in store.output().collect()) == ["a", "b"]
+    assert spark.read.parquet(f"{store.root}/out").count() == 2  # what the dead run left is gone
+
+
+def test_manifest_store_listing_that_moves(spark, tmp_path):
+    """Files that arrive while a batch runs are neither committed nor lost."""
+    store = incremental.ManifestStore(spark, (tmp_path / "store").as_uri())
+    source = str(tmp_path / "files")
+    spark.createDataFrame([("a", 1, "x")], LISTING).write.mode("append").parquet(source)
+
+    def process(df):
+        spark.createDataFrame([("b", 1, "y")], LISTING).write.mode("append").parquet(source)
+        return df
+
+    listing = lambda: spark.read.parquet(source)
+    store.run(listing(), process)
+    assert [r.path for r in store.manifest().collect()] == ["a"]
+    store.run(listing(), lambda df: df)
+    assert sorted(r.path for r in store.output().collect()) == ["a", "b"]
+
+
+def test_manifest_store_refuses_a_second_run(spark, tmp_path):
+    store, other = (incremental.ManifestStore(spark, tmp_path.as_uri()) for _ in range(2))
+
+    def process(df):
+        other._commit(0, "other", 1, False)
+        return df
+
+    with pytest.raises(Exception, match="exist"):
+        store.run(spark.createDataFrame([("a", 1, "x")], LISTING), process)
