@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UTC = "spark.sql.session.timeZone"
 
@@ -36,15 +37,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. The cluster's own setting wins; one is made only where none is set (tests)."""
+    """The shared checkpoint folder. The cluster's own setting wins; one is made only in local mode (tests, benches), and removed at its end.
+
+    On a cluster without one this is an error: executors could not share a folder of the driver's.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    target = configured or "file://" + tempfile.mkdtemp(prefix="skein-checkpoint-", dir=os.environ.get("TMPDIR"))
-    sc.setCheckpointDir(target)
-    return target
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="skein-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        configured = f"file://{folder}"
+    sc.setCheckpointDir(configured)
+    return configured
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -88,6 +97,33 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(archive))
 
 
+#: Bytes of input that one task of a shuffle is meant to take.
+TASK_BYTES = 128 << 20
+
+
 def width(spark: SparkSession) -> int:
-    """Partitions for work that costs much CPU a row: the session's shuffle width, at least two waves of its cores."""
+    """Partitions for little data that costs much CPU a row: the session's shuffle width, at least two waves of its cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the plan's leaves hold by the optimizer's statistics (of files: their sizes); leaves that tell none count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def parts(df: DataFrame) -> int:
+    """Partitions of a shuffle of ``df``: as many as its input needs at TASK_BYTES each, at least :func:`width`."""
+    return max(width(df.sparkSession), -(-input_bytes(df) // TASK_BYTES))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least :func:`width` partitions. A scan that has as many splits stays as it is: nothing is shuffled.
+
+    Rows are dealt out by their place in the input, so that neither a null nor a hot key gathers anywhere.
+    """
+    n = width(df.sparkSession)
+    if input_bytes(df) >= n * int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()):
+        return df
+    return df.repartition(n, F.monotonically_increasing_id())
