@@ -5,15 +5,16 @@ Every ranking has a total order (score, then key). Query sets are DataFrames, so
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import text, vectors
 
-#: How many entries a query set may have to be sent to all tasks; larger ones are joined by shuffles.
-SMALL_QUERIES = 10_000
-
 
 def validate(k: int, most: int = 30, collections: int | None = None) -> None:
     """Rejects what the tools' callers may not ask for."""
@@ -41,6 +42,64 @@ def dense_topk(chunks: DataFrame, query: DataFrame, k: int, language: str | None
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def _best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, similarity) of the ``k`` greatest of every row, equal ones by the smaller id."""
+    least = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -np.inf)
+    q, c = np.nonzero(sims >= least[:, None])
+    order = np.lexsort((ids[c], -sims[q, c], q))
+    q, c = q[order], c[order]
+    first = np.searchsorted(q, q, side="left")
+    top = np.arange(len(q)) - first < k
+    return q[top], ids[c[top]], sims[q[top], c[top]]
+
+
+def dense_topk_set(chunks: DataFrame, queries: DataFrame, k: int, key: str = "point_id", query_key: str = "query_id", vector: str = "dense_vector", dim: int = 64, block: int = 20_000) -> DataFrame:
+    """query_key, key, score, rank: the ``k`` nearest of ``chunks`` for every row of ``queries`` (query_key, ``vector``), whole numbers as keys.
+
+    Queries are taken in blocks of about ``block`` rows, so that what is sent to the tasks is bounded whatever their
+    number; each block is one pass over the chunks, in matrix products, and a task puts out k rows a query. Score: cosine in double
+    precision, 6 places; ties by the smaller key. Unusable vectors match nothing and ask nothing.
+    """
+    rows = chunks.where(F.col(key).isNotNull() & vectors.usable(F.col(vector), dim)).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    asked = queries.where(F.col(query_key).isNotNull() & vectors.usable(F.col(vector), dim)).select(F.col(query_key).cast("bigint").alias("query"), F.col(vector).cast("array<double>").alias("vector")).distinct()
+    blocks = max(1, -(-asked.count() // block))
+    schema = "query bigint, key bigint, score double"
+
+    def unit(column) -> np.ndarray:
+        x = column.flatten().to_numpy().reshape(-1, dim)
+        return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+    out = None
+    for n in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).toArrow().combine_chunks()  # about block rows
+        if not part.num_rows:
+            continue
+        ids, q = part.column("query").to_numpy(), unit(part.column("vector").combine_chunks())
+
+        def look(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, keys = unit(b.column(1)), b.column(0).to_numpy()
+                found = [best]
+                for i in range(0, len(q), 512):
+                    r, c, s = _best_of(np.round(q[i : i + 512] @ x.T, 6), keys, k)
+                    found.append((r + i, c, s))
+                r, c, s = map(np.concatenate, zip(*found))
+                order = np.lexsort((c, -s, r))
+                r, c, s = r[order], c[order], s[order]
+                top = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
+                best = (r[top], c[top], s[top])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query", "key", "score"])
+
+        found = rows.mapInArrow(look, schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = chunks.sparkSession.createDataFrame([], schema)
+    return top_per(out.withColumnsRenamed({"query": query_key, "key": key}), [query_key], [F.desc("score"), F.col(key)], k)
+
+
 def postings(docs: DataFrame, key: list[str], content: str, only: DataFrame | None = None) -> DataFrame:
     """key, token, weight of every token of every document; with ``only`` (token) of these tokens, at unchanged weights."""
     rows = docs.select(*key, text.kept_tokens(F.col(content)).alias("ts")).select(*key, F.size("ts").alias("length"), F.explode("ts").alias("token"))
