@@ -3,25 +3,28 @@
 Texts are taken apart into sentences, and spelling tricks are undone (look-alike letters, digits for letters, spaced or
 stretched words, hidden characters). Binary n-gram features are scaled by naive Bayes log-count ratios and weighed by
 logistic regression, trained on labelled documents: of a document labelled abusive, the sentence that scores highest
-stands for it, of one labelled otherwise every sentence does. A document scores as its highest sentence.
+stands for it, of one labelled otherwise every sentence does. A document scores as its highest sentence. Labelled samples
+hold more abuse than a corpus does, so the share of abusive documents is estimated from the scores of the whole corpus, and
+the scores are probabilities under that share.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm.distinctive import mix64
 from skein.llm.mixing import source_name
-from skein.session import width
+from skein.session import cut, spread
 
 #: Greek and Cyrillic letters and signs that stand for Latin letters of the same look.
 ALIKE = str.maketrans("аеосрхуікѕјһԁԛԝвнмтαοερνικτυ", "aeocpxyiksjhdqwbhmtaoepviktu")
@@ -29,7 +32,7 @@ ALIKE = str.maketrans("аеосрхуікѕјһԁԛԝвнмтαοερνικτυ"
 DIGITS = str.maketrans("0134578@$!|", "oieastbasil")
 
 #: Documents that score at least this count as abusive.
-THRESHOLD = 0.4
+THRESHOLD = 0.5
 BUCKETS = 1 << 18
 ORDERS = (2, 3, 4, 5)
 #: Sentences beyond this length are cut at a word's end.
@@ -38,7 +41,8 @@ LONGEST = 240
 WINDOW, STRIDE = 10, 5
 
 _SENTENCE = re.compile(r"(?<=[.!?])[\s)\"'>]+|\s*[\r\n]+\s*")
-_CODE = re.compile(r"\b[a-z]+(?:[A-Z][a-z0-9]*)+\b|\b(?:[A-Z][a-z0-9]+){2,}\b|\b\w*[a-z0-9]_\w+|<?@?user\d+>?|`[^`]*`|https?://\S+")
+# words with an inner capital or underscore, names of users, quoted code, addresses
+_CODE = re.compile(r"\b(?=\w*?[a-z0-9](?:[A-Z]|_\w))(?:[a-z]+(?:[A-Z][a-z0-9]*)+|(?:[A-Z][a-z0-9]+){2,}|\w*[a-z0-9]_\w+)\b|<?@?user\d+>?|`[^`]*`|https?://\S+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_]){2,}[^\W\d_](?!\w)")
 _MIXED = re.compile(r"(?<![\w@$!|])(?=[\w@$!|]*[a-z])(?=[\w@$!|]*[0134578@$!|][\w@$])[a-z0134578@$!|]+(?![\w@$|])")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
@@ -49,11 +53,9 @@ _MARKS = re.compile("[\u0300-\u036f]+")
 _LONG = re.compile(rf".{{1,{LONGEST}}}(?:\s|$)|.{{1,{LONGEST}}}", re.S)
 
 
-@lru_cache(maxsize=1)
-def _drop() -> dict[int, None]:
-    """Hidden characters: formats, joiners, variation selectors."""
-    spans = [(0xAD, 0xAD), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF)]
-    return {c: None for a, b in spans for c in range(a, b + 1)}
+# hidden characters: formats, joiners, variation selectors
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
+_OTHER_LETTERS = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 
 
 def plain(text: str) -> str:
@@ -63,10 +65,11 @@ def plain(text: str) -> str:
     """
     s = text
     if not s.isascii():
-        s = unicodedata.normalize("NFKC", s.translate(_drop()))
+        s = unicodedata.normalize("NFKC", _HIDDEN.sub("", s))
     s = _CODE.sub(" \u00a7 ", s).lower()
     if not s.isascii():
-        s = _MARKS.sub("", unicodedata.normalize("NFD", s.translate(ALIKE))).replace("\u00df", "ss")
+        s = s.translate(ALIKE) if _OTHER_LETTERS.search(s) else s  # the table is looked into character by character
+        s = _MARKS.sub("", unicodedata.normalize("NFD", s)).replace("\u00df", "ss")
     s = _SPACED.sub(lambda m: re.sub(r"[ .\-_]", "", m[0]), s)
     s = _MIXED.sub(lambda m: m[0].translate(DIGITS), s)
     s = _SENTENCE.sub("\x01", _MASKED.sub("**", _NUMBER.sub("0", s)))
@@ -117,10 +120,12 @@ def _ngrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by n-gram bucket (log-count ratio times regression weight) and the bias."""
+    """Weights by n-gram bucket (log-count ratio times regression weight), the bias, and what it was trained on."""
 
     weights: np.ndarray
     bias: float
+    share: float = 0.5  # of abusive documents among those it was trained on
+    abusive: int = 0  # how many these were
 
     def scores(self, lines: list[str]) -> np.ndarray:
         """Probability that each line is abusive."""
@@ -248,26 +253,45 @@ def train(texts: list[str], abusive: list[float], rounds: int = 3, decay: float
     for y in (0.0, 1.0):
         mine = np.flatnonzero((label == y) & (wrong > 0.95))
         keep[mine[np.argsort(-wrong[mine], kind="stable")][: int(rater_error * (label == y).sum())]] = False
-    return bags.fit(keep, rounds, decay, epochs, seed)
+    model = bags.fit(keep, rounds, decay, epochs, seed)
+    return Model(model.weights, model.bias, float(label.mean()), int(label.sum()))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, at_most: int) -> DataFrame:
-    """doc_id, text, abusive (mean over raters) of at most ``at_most`` labelled documents, taken by a hash of the id."""
+def corpus_share(margins: np.ndarray, counts: np.ndarray, trained: float, rounds: int = 500) -> float:
+    """The share of abusive documents in a corpus, by expectation maximisation over its margins (values and how often).
+
+    The model's probabilities hold for the share ``trained`` of its training set; a share is sought that their mean under it is equal to.
+    """
+    odds = np.exp(np.clip(margins, -30, 30)) * (1 - trained) / trained
+    share = trained
+    for _ in range(rounds):
+        mean = float(np.average(odds * share / (odds * share + 1 - share), weights=counts))
+        if abs(mean - share) < 1e-9:
+            break
+        share = min(max(mean, 1e-6), 1 - 1e-6)
+    return share
+
+
+def labelled(docs: DataFrame, labels: DataFrame, at_most: int, characters: int) -> DataFrame:
+    """doc_id, text, abusive (mean over raters) of labelled documents, taken whole and by a hash of the id: ``at_most`` rows and ``characters`` in all."""
     mean = labels.where(F.col("abusive").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "rater", F.col("abusive").cast("double").alias("abusive")).distinct()
     mean = mean.groupBy("doc_id").agg(F.avg("abusive").alias("abusive")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most)
     texts = docs.where(F.length("text") > 0).select("doc_id", "text")
-    return texts.join(F.broadcast(mean), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("abusive").alias("abusive"))  # at_most rows
+    rows = texts.join(F.broadcast(mean), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("abusive").alias("abusive"))  # at_most rows
+    size = F.sum(F.length("text")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over at_most rows
+    return rows.withColumn("_size", size).where(F.col("_size") <= characters).drop("_size")
 
 
-def score_abuse(docs: DataFrame, labels: DataFrame, train_rows: int = 8_000, longest_train: int = 20_000) -> DataFrame:
-    """Every document with its score: doc_id, source, score (0 to 1).
+def score_abuse(docs: DataFrame, labels: DataFrame, train_rows: int = 8_000, train_characters: int = 40_000_000, least_abusive: int = 50) -> DataFrame:
+    """Every document with its score: doc_id, source, score (0 to 1, the probability that it is abusive).
 
-    The model is trained on at most ``train_rows`` labelled documents, of each at most the first ``longest_train``
-    characters (both bound the driver's memory; scoring reads whole texts). Raters who disagree evenly say nothing; null labels are none. Null, empty and blank texts score 0.
+    The model is trained on at most ``train_rows`` labelled documents of ``train_characters`` together, all of them whole (the
+    bounds of the driver's memory). Raters who disagree evenly say nothing; null labels are none. Null, empty and blank texts score 0.
     One row per document: repeated rows count once, with their greatest score. ``source`` is in one spelling, null if it is null.
-    Without labels of both kinds every score is 0.
+    Without labels of both kinds every score is 0. A model of fewer than ``least_abusive`` documents labelled abusive
+    orders documents for review but flags none: all its scores stay below THRESHOLD.
     """
-    sample = labelled(docs, labels, train_rows).select("doc_id", F.left("text", F.lit(longest_train)).alias("text"), "abusive").orderBy("doc_id").toPandas()
+    sample = labelled(docs, labels, train_rows, train_characters).orderBy("doc_id").toPandas()
     model = train(sample.text.tolist(), sample.abusive.tolist())
     weights, bias = model.weights.astype(np.float32), model.bias
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -281,14 +305,23 @@ def score_abuse(docs: DataFrame, labels: DataFrame, train_rows: int = 8_000, lon
             new = list({s: None for d in split for s in d if s not in known})
             for i in range(0, len(new), 5000):
                 part = new[i : i + 5000]
-                known.update(zip(part, mine.scores(part).tolist()))
-            scores = [max((known[s] for s in d), default=0.0) for d in split]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, type=pa.float64())], names=["doc_id", "source", "score"])
-
-    rows = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text").repartition(width(docs.sparkSession), "doc_id")
-    scored = rows.mapInArrow(run, f"doc_id {kind}, source string, score double")
-    best = F.max(F.struct("score", "source"))
-    return scored.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.source", "b.score")
+                known.update(zip(part, mine.margins(*ngrams(part)).tolist()))
+            margins = [max((known[s] for s in d), default=None) for d in split]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(margins, type=pa.float64())], names=["doc_id", "source", "margin"])
+
+    rows = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text")
+    scored = spread(rows).mapInArrow(run, f"doc_id {kind}, source string, margin double")
+    scored = cut(scored.groupBy("doc_id").agg(F.max(F.struct("margin", "source")).alias("b")).select("doc_id", "b.source", "b.margin"))
+    if not model.abusive:
+        return scored.select("doc_id", "source", F.lit(0.0).alias("score"))
+    # margins to two places between -30 and 30: at most 6,001 rows
+    seen = scored.where(F.col("margin").isNotNull()).groupBy(F.round(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), "margin")), 2).alias("m")).agg(F.count("*").alias("n")).toPandas()
+    share = corpus_share(seen.m.to_numpy(), seen.n.to_numpy(), model.share) if len(seen) else model.share
+    shift = math.log(share / (1 - share)) - math.log(model.share / (1 - model.share))
+    score = F.coalesce(1 / (1 + F.exp(-(F.col("margin") + shift))), F.lit(0.0))
+    if model.abusive < least_abusive:
+        score = score * (THRESHOLD * 0.999)
+    return scored.select("doc_id", "source", score.alias("score"))
 
 
 def abuse_rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import cut, width
+from skein.session import cut
 
 #: A term with at least this share of the collection's mass is common; there can be no more than 1 / COMMON such terms.
 COMMON = 1e-5
@@ -236,7 +236,7 @@ def distinctive_terms(
     text); null ids, null and empty texts and texts without terms give no rows; other columns are ignored.
     """
     texts = chunks.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(id_col, F.col(text_col).alias("_text"))
-    records = texts.repartition(width(chunks.sparkSession), id_col).groupBy(id_col).agg(F.max("_text").alias("_text"))
+    records = texts.groupBy(id_col).agg(F.max("_text").alias("_text"))
     return _distinctive(records, _text_records, pa.string(), weight, min_count, min_records, max_records)
 
 
@@ -248,5 +248,5 @@ def distinctive_indices(vectors: DataFrame, id_col: str = "point_id", indices: s
     """
     some = vectors.where(F.col(id_col).isNotNull() & (F.size(indices) > 0) & (F.size(values) > 0))
     some = some.select(id_col, F.struct(F.col(indices).cast("array<bigint>").alias("i"), F.col(values).cast("array<double>").alias("v")).alias("_pairs"))
-    records = some.repartition(width(vectors.sparkSession), id_col).groupBy(id_col).agg(F.max("_pairs").alias("_pairs"))
+    records = some.groupBy(id_col).agg(F.max("_pairs").alias("_pairs"))
     return _distinctive(records.select(id_col, "_pairs.i", "_pairs.v"), _sparse_records, pa.int64(), weight, 0, 1, None)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.distinctive import SLICE, _powers, mix64
 from skein.operators.incremental import clean_path
-from skein.session import cut, width
+from skein.session import cut, spread
 
 #: Rules that stand for at least so many tokens are compared between repositories.
 LONG_RULE = 32
@@ -344,13 +344,12 @@ def file_grammars(files: DataFrame) -> DataFrame:
                 )
 
     rows = files.where(F.col("content").isNotNull()).select("record_id", "collection", clean_path(F.col("rel_path")).alias("path"), "content")
-    rows = rows.repartition(width(files.sparkSession), "record_id")
     kind = files.schema["record_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"record_id {kind}, collection string, tokens bigint, grammar bigint, noise double, evidence array<string>, rules array<struct<rule bigint, start int, span int>>")
+    return spread(rows).mapInArrow(run, f"record_id {kind}, collection string, tokens bigint, grammar bigint, noise double, evidence array<string>, rules array<struct<rule bigint, start int, span int>>")
 
 
 def classify_files(files: DataFrame) -> DataFrame:
-    """record_id, tokens, grammar, shared (part of its tokens under shared rules and segments), evidence, kinds, other (not hand-written).
+    """record_id, tokens, grammar, shared (part of its tokens under shared rules and segments), evidence, kinds, other (not hand-written), by_grammar (its grammars alone say so).
 
     ``kinds``: generated (a mark, or a grammar below REUSE of at least REUSE_TOKENS tokens), minified, vendored (a mark, or
     rules and segments shared by several collections together cover SHARED of it), blob (literals that a grammar over
@@ -372,4 +371,6 @@ def classify_files(files: DataFrame) -> DataFrame:
     kinds = F.filter(
         F.array(F.when(has("generated") | reused, "generated"), F.when(has("minified"), "minified"), F.when(has("vendored") | (F.col("shared") >= SHARED), "vendored"), F.when(blob, "blob")), lambda x: x.isNotNull()
     )
-    return rows.select("record_id", "tokens", "grammar", "shared", "evidence", kinds.alias("kinds"), (F.size(kinds) > 0).alias("other"))
+    random = (F.col("noise") >= NOISE) & ~has("minified")
+    alone = reused | random | (F.col("shared") >= SHARED)
+    return rows.select("record_id", "tokens", "grammar", "shared", "evidence", kinds.alias("kinds"), (F.size(kinds) > 0).alias("other"), alone.alias("by_grammar"))

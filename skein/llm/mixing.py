@@ -1,9 +1,9 @@
 """Mixing sources to target weights.
 
-Weights lie on the tempered path between the sources' own token shares s and their targets t: w ~ s^(1-a) * t^a. The
-exponent a is bisected: 1 (the targets themselves) if the budget allows it, else the largest a at which no source has
-to be repeated more often than it may. One tiny source would so pull every other source away from its target; by
-default it is therefore pinned at its repetition limit first, and the exponent is found for the rest. Without targets,
+Weights lie on the tempered path between the sources' own token shares s and their targets t: w = s^(1-a) * t^a. The
+exponent a is bisected: 1 (the target itself) if the budget allows it, else the largest a at which the source need not be
+repeated more often than it may. One exponent for all sources would let one tiny source pull every other one away from its target; by
+default each source that its limit binds has its own. Without targets,
 w ~ s^a is bisected to a target entropy. The weights become token budgets, and a budget becomes whole passes over a
 source plus the leading part of a block permutation of it.
 """
@@ -59,62 +59,121 @@ def weights_for_entropy(shares: dict[str, float], target: float) -> tuple[float,
 
 @dataclass(frozen=True)
 class MixPlan:
-    """What a mixture will hold: the exponent found, the total budget, and tokens to draw per source."""
+    """What a mixture will hold: the total budget, tokens to draw per source, and the exponent found for each."""
 
-    exponent: float
     total: float
     budgets: dict[str, float]
+    exponents: dict[str, float]
+
+
+def limited(share: float, goal: float, most: float) -> tuple[float, float]:
+    """(exponent a, weight) of a source with a natural share and a goal whose weight may be ``most`` at most.
+
+    The weight is share^(1-a) * goal^a with the a nearest to 1 that keeps the limit, bisected; if none does, a is 0 and the weight the limit itself.
+    """
+    at = lambda a: share ** (1 - a) * goal**a
+    if share <= goal:
+        a = bisect(lambda x: at(x) <= most * (1 + 1e-12), 0.0, 1.0)
+    else:  # the weight goes up with the share: what lacks elsewhere makes it grow towards its limit
+        a = 1 - bisect(lambda x: at(1 - x) <= most * (1 + 1e-12), 0.0, 1.0)
+    return a, min(at(a), most)
 
 
 def plan_mix(
-    tokens: dict[str, int], targets: dict[str, float], repeats: dict[str, int], total: float | None = None, shortfall: float = 0.02, pin: bool = True
+    tokens: dict[str, int], targets: dict[str, float], repeats: dict[str, int], total: float | None = None, shortfall: float = 0.02, shared: bool = False
 ) -> MixPlan:
     """Budgets from the tokens each source has, its target share and how often it may be repeated at most.
 
     Targets of sources without tokens are out of reach; the others' are scaled to add up to 1. Without ``total`` the
     mixture is the largest in which the shares that the repetition limits keep from sources add up to ``shortfall`` at
-    most (bisected). With ``pin``, a source that cannot reach its share stays at its limit and leaves what it lacks to
-    the others in proportion; without, the exponent goes down until all limits hold. A total beyond what all
-    sources may give together is reduced to that.
+    most (bisected). A total beyond what all sources may give together is reduced to that. A source whose share would
+    take it over its limit comes down from its goal towards its natural share by an exponent of its own, and what
+    it lacks goes to the others in proportion to their goals, which may take these to their limits in turn; all others keep exponent 1. With
+    ``shared`` there is one exponent for all sources, which goes down until all limits hold.
     """
     have = {k: n for k, n in tokens.items() if n > 0 and targets.get(k, 0.0) > 0 and repeats.get(k, 0) > 0}
     if not have:
-        return MixPlan(1.0, 0.0, {})
+        return MixPlan(0.0, {}, {})
     room = {k: n * repeats[k] for k, n in have.items()}
-    goal_sum, all_room = sum(targets[k] for k in have), float(sum(room.values()))
-    goals = {k: targets[k] / goal_sum for k in have}
+    goal_sum, all_room, all_have = sum(targets[k] for k in have), float(sum(room.values())), sum(have.values())
+    goals, shares = {k: targets[k] / goal_sum for k in have}, {k: n / all_have for k, n in have.items()}
     if total is None:
         lacking = lambda t: sum(max(0.0, goals[k] - room[k] / t) for k in have)
         total = bisect(lambda t: lacking(t) <= shortfall, min(room[k] / goals[k] for k in have), all_room)
     total = min(total, all_room)
-    budgets: dict[str, float] = {}
-    free, left = dict(have), total
-    while free:
-        sums = sum(free.values()), sum(goals[k] for k in free)
-        shares, wanted = {k: n / sums[0] for k, n in free.items()}, {k: goals[k] / sums[1] for k in free}
-        over = [k for k in free if wanted[k] * left > room[k] * (1 + 1e-12)]
-        if not over or not pin:
-            break
-        for k in over:
-            budgets[k] = float(room[k])
-            del free[k]
-        left = total - sum(budgets.values())
-    a = 1.0
-    if free:
-        fits = lambda x: all(w * left <= room[k] * (1 + 1e-12) for k, w in tempered(shares, x, wanted).items())
+    if shared:
+        fits = lambda x: all(w * total <= room[k] * (1 + 1e-12) for k, w in tempered(shares, x, goals).items())
         a = bisect(fits, 0.0, 1.0)
-        budgets |= {k: min(w * left, float(room[k])) for k, w in tempered(shares, a, wanted).items()}
-    return MixPlan(a, total, budgets)
+        return MixPlan(total, {k: min(w * total, float(room[k])) for k, w in tempered(shares, a, goals).items()}, dict.fromkeys(have, a))
+    exponents, weights, held = dict.fromkeys(have, 1.0), dict(goals), {}
+    while over := [k for k in have if k not in held and weights[k] * total > room[k] * (1 + 1e-12)]:
+        for k in over:
+            exponents[k], held[k] = limited(shares[k], goals[k], room[k] / total)
+        free = sum(goals[k] for k in have if k not in held)
+        left = 1 - sum(held.values())
+        if not free:  # every source is at its limit
+            held = {k: room[k] / total for k in have}
+        weights = {k: held[k] if k in held else goals[k] / free * left for k in have}
+    return MixPlan(total, {k: min(w * total, float(room[k])) for k, w in weights.items()}, exponents)
+
+
+def _of(values: dict[str, float], otherwise: float) -> Column:
+    """The value of the row's source; there is one entry per target source."""
+    known = F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, float(v))]) if values else F.lit(None).cast("map<string,double>")
+    return F.coalesce(F.try_element_at(known, F.col("source")), F.lit(otherwise))
+
+
+def leading_part(docs: DataFrame, rest: dict[str, float]) -> DataFrame:
+    """``docs`` (doc_id, source, tokens, key, block) with extra: 1 for the leading documents of each source's block permutation whose tokens add up to at most ``rest``.
+
+    Blocks are summed first, so that only the documents of the one block in which a source's part ends are put in order.
+    """
+    blocks = docs.groupBy("source", "block").agg(F.sum("tokens").alias("size"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # over BLOCKS rows a source
+    placed = blocks.withColumn("before", before).withColumn("rest", _of(rest, 0.0))
+    # blocks that lie whole within the rest, the one block that the rest ends in, and those beyond it
+    inside = F.when(F.col("before") + F.col("size") <= F.col("rest"), 1).when(F.col("before") < F.col("rest"), 0).otherwise(-1)
+    drawn = docs.join(placed.select("source", "block", "before", "rest", inside.alias("inside")), ["source", "block"])
+    upto = F.sum("tokens").over(W.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    edge = drawn.where(F.col("inside") == 0).withColumn("extra", (F.col("before") + upto <= F.col("rest")).cast("int"))
+    whole = drawn.where(F.col("inside") != 0).withColumn("extra", (F.col("inside") == 1).cast("int"))
+    return whole.unionByName(edge).select(*docs.columns, "extra")
+
+
+def fill(docs: DataFrame, rest: dict[str, float], rounds: int = 4) -> DataFrame:
+    """doc_id, source, tokens, extra of all ``docs``: extra is 1 for documents of at most ``rest`` tokens of their source together.
+
+    The leading part is taken; then, of the documents behind it that still fit into what is left, the leading part again. What remains open is
+    less than one document: the one that the last round stopped at, or any that is left.
+    """
+    done, pool, rest = [], docs, dict(rest)
+    columns = ["doc_id", "source", "tokens", "extra"]
+    for _ in range(rounds):
+        fits = F.col("tokens") <= _of(rest, 0.0)
+        done.append(pool.where(~fits).withColumn("extra", F.lit(0)).select(*columns))
+        marked = cut(leading_part(pool.where(fits), rest))
+        done.append(marked.where("extra = 1").select(*columns))
+        pool = marked.where("extra = 0").drop("extra")
+        got = marked.where("extra = 1").groupBy("source").agg(F.sum("tokens").alias("n")).collect()  # one row per target source
+        if not got:
+            break
+        for r in got:
+            rest[r.source] -= r.n
+    done.append(pool.withColumn("extra", F.lit(0)).select(*columns))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def mixture(
-    docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, shortfall: float = 0.02, seed: int = 17, vocabulary: str = DEFAULT_VOCABULARY
+    docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, shortfall: float = 0.02, seed: int = 17, vocabulary: str = DEFAULT_VOCABULARY, shared: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, report) of ``docs`` (doc_id, text, source) under ``targets`` (source, target_share, max_repeats).
 
     Mixture: doc_id, source, tokens, copies (how often the document is used, at least 1, at most max_repeats).
     Report, one row per target source: source, target_share, actual_share, max_repeats, documents, source_tokens,
-    mixed_tokens, passes (mixed over source tokens). Sources are compared by :func:`source_name`; a document whose
+    mixed_tokens, passes (mixed over source tokens), exponent (below 1 where the repetition limit binds, null for sources that are not mixed). Sources are compared by :func:`source_name`; a document whose
     source is null or has no target, and one without tokens (null, empty text), is not mixed. A source without
     documents gets 0. Repeated rows of a document count once, repeated targets by their greatest values; a null share is 0, null repeats
     mean 1. Tokens are counted over all documents; only one row per target source comes to the driver.
@@ -123,37 +182,28 @@ def mixture(
     goals = goals.agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("max_repeats"))
     named = docs.where(F.col("source").isNotNull()).select("doc_id", source_name(F.col("source")).alias("source"), "text")
     counted = count_tokens(named, keep=("source",), vocabulary=vocabulary).where(F.col("tokens") > 0)
-    counted = cut(counted.groupBy("doc_id").agg(F.min_by("source", F.struct("source", "tokens")).alias("source"), F.min_by("tokens", F.struct("source", "tokens")).alias("tokens")))
-    mine = counted.join(F.broadcast(goals.select("source")), "source", "left_semi")  # one row per target source
-
+    counted = counted.groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("s")).select("doc_id", "s.source", "s.tokens")
     key = F.xxhash64(F.lit(seed), "doc_id")
-    mine = mine.select("doc_id", "source", "tokens", key.alias("key"), F.shiftrightunsigned(key, 52).cast("int").alias("block"))
-    blocks = mine.groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.count("*").alias("docs"))
-    sizes = goals.join(blocks.groupBy("source").agg(F.sum("size").alias("source_tokens"), F.sum("docs").alias("documents")), "source", "left")
-    rows = sizes.na.fill(0, ["source_tokens", "documents"]).collect()  # one row per target source
-    plan = plan_mix({r.source: r.source_tokens for r in rows}, {r.source: r.target_share for r in rows}, {r.source: r.max_repeats for r in rows}, total_tokens, shortfall)
-
-    spark = docs.sparkSession
-    budget = [(r.source, int(plan.budgets.get(r.source, 0) // r.source_tokens) if r.source_tokens else 0, plan.budgets.get(r.source, 0.0)) for r in rows]
-    budgets = [(s, min(k, r.max_repeats), b - min(k, r.max_repeats) * r.source_tokens if k < r.max_repeats else 0.0) for (s, k, b), r in zip(budget, rows)]
-    budgets = spark.createDataFrame(budgets, "source string, passes int, rest double")
-    before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = blocks.withColumn("before", before).join(F.broadcast(budgets), "source")
-    # blocks that lie whole within the rest, the one block that the rest ends in, and those beyond it
-    placed = placed.select("source", "block", "passes", "rest", "before", F.when(F.col("before") + F.col("size") <= F.col("rest"), 1).when(F.col("before") < F.col("rest"), 0).otherwise(-1).alias("inside"))
-    drawn = mine.join(placed, ["source", "block"])
-    edge = drawn.where(F.col("inside") == 0)
-    upto = F.sum("tokens").over(W.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    edge = edge.withColumn("extra", (F.col("before") + upto <= F.col("rest")).cast("int"))
-    whole = drawn.where(F.col("inside") != 0).withColumn("extra", (F.col("inside") == 1).cast("int"))
-    mixed = whole.unionByName(edge).select("doc_id", "source", "tokens", (F.col("passes") + F.col("extra")).alias("copies")).where(F.col("copies") > 0)
+    counted = cut(counted.select("*", key.alias("key"), F.shiftrightunsigned(key, 64 - BLOCKS.bit_length() + 1).cast("int").alias("block")))
+    sizes = counted.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count("*").alias("documents"))
+    rows = goals.join(sizes, "source", "left").na.fill(0, ["source_tokens", "documents"]).collect()  # one row per target source
+    plan = plan_mix({r.source: r.source_tokens for r in rows}, {r.source: r.target_share for r in rows}, {r.source: r.max_repeats for r in rows}, total_tokens, shortfall, shared)
+
+    passes, rest = {}, {}
+    for r in rows:
+        budget = plan.budgets.get(r.source, 0.0)
+        passes[r.source] = min(int((budget + 0.5) // r.source_tokens), r.max_repeats) if r.source_tokens else 0
+        rest[r.source] = max(0.0, budget - passes[r.source] * r.source_tokens) if passes[r.source] < r.max_repeats else 0.0
+    mine = counted.where(F.col("source").isin(*[r.source for r in rows]) if rows else F.lit(False))
+    mixed = fill(mine, rest).select("doc_id", "source", "tokens", (_of(passes, 0).cast("int") + F.col("extra")).alias("copies")).where(F.col("copies") > 0)
 
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
-    facts = spark.createDataFrame([(r.source, r.target_share, r.max_repeats, r.documents, r.source_tokens) for r in rows], "source string, target_share double, max_repeats int, documents bigint, source_tokens bigint")
-    report = facts.join(F.broadcast(used), "source", "left").na.fill(0, ["mixed_tokens"])
-    everything = F.sum("mixed_tokens").over(W.partitionBy(F.lit(1)))  # over one row per target source
+    facts = [(r.source, r.target_share, r.max_repeats, r.documents, r.source_tokens, plan.exponents.get(r.source)) for r in rows]
+    facts = docs.sparkSession.createDataFrame(facts, "source string, target_share double, max_repeats int, documents bigint, source_tokens bigint, exponent double")
+    report = facts.join(F.broadcast(used), "source", "left").na.fill(0, ["mixed_tokens"])  # one row per target source
+    everything = F.sum("mixed_tokens").over(W.partitionBy(F.lit(1)))
     report = report.select(
         "source", "target_share", F.when(everything > 0, F.col("mixed_tokens") / everything).otherwise(0.0).alias("actual_share"), "max_repeats", "documents", "source_tokens", "mixed_tokens",
-        F.when(F.col("source_tokens") > 0, F.col("mixed_tokens") / F.col("source_tokens")).otherwise(0.0).alias("passes"),
+        F.when(F.col("source_tokens") > 0, F.col("mixed_tokens") / F.col("source_tokens")).otherwise(0.0).alias("passes"), "exponent",
     )
     return mixed, report

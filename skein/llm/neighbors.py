@@ -4,7 +4,8 @@ Centroids come from a balanced hierarchical clustering of a bounded sample; they
 near centroids. Every vector is written to the lists of its nearest centroids, boundary vectors to several of them
 (those within a ratio of the nearest distance), and looks for its neighbours in a few more, pruned by a wider ratio.
 Equal vectors are one entry with their smallest ids, so a third of all rows being copies of one vector makes no list
-long. Candidates are found with single-precision products and ranked by the double-precision cosine.
+long. A list that is long all the same, because the sample has too few vectors for so many or they crowd, is taken apart into posting
+lists of its own by the task that holds it. Candidates are found with single-precision products and ranked by the double-precision cosine.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import cut, width
+from skein.functions.vectors import usable
+from skein.operators.search import dense_topk_set, top_per
+from skein.session import cut, parts
 
-#: Equal vectors are gathered by this many salts first.
-SALTS = 256
+#: Equal vectors are gathered by this many salts first; those with more than HOT copies are also joined by them.
+SALTS, HOT = 256, 4096
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -109,40 +112,61 @@ class ListIndex:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
 
 
+@dataclass(frozen=True)
+class Reach:
+    """How far a vector reaches: it is held by up to ``replicas`` lists within ``replicate_ratio`` of its nearest distance, and searches up to ``probes`` within ``probe_ratio``."""
+
+    replicate_ratio: float
+    replicas: int
+    probe_ratio: float
+    probes: int
+
+    def lists(self, index: ListIndex, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, held, searched) for every list that a unit vector is held by or searches."""
+        ids, sims = index.search(x, beam=max(8, 2 * self.probes))
+        ids, away = ids[:, : self.probes], np.sqrt(np.maximum(2 - 2 * sims[:, : self.probes], 1e-12))
+        near = away[:, :1]
+        searched = away <= near * self.probe_ratio
+        held = (away <= near * self.replicate_ratio) & (np.arange(ids.shape[1]) < self.replicas)
+        row, col = np.nonzero(searched | held)
+        return row, ids[row, col], held[row, col], searched[row, col]
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int, keep: int) -> tuple[DataFrame, DataFrame]:
-    """(entries, members): an entry (rep, ids, copies, vector) per distinct usable vector, and all ids as (vector, ids).
+    """(entries, members): an entry (rep, h1, h2, ids, copies, vector) per distinct usable vector, and all ids as (h1, h2, salt, ids).
 
     Usable: ``dim`` finite components, not all zero. An entry's ``ids`` are the ``keep`` smallest that
-    share the vector; ``members`` has all of them in up to SALTS rows a vector, so that a hot vector is in no single row.
+    share the vector; ``members`` has all of them in up to SALTS rows a vector, so that a hot vector is in no single row. Two hashes
+    of 64 bits stand for the vector, which is so moved twice only.
     """
     v = F.col(vector_col)
-    usable = vectors.where(F.col(id_col).isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    usable = usable.select(F.col(id_col).cast("bigint").alias("id"), F.transform(v, lambda x: (x + F.lit(0.0).cast("float")).cast("float")).alias("vector"))
-    members = usable.groupBy("vector", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.collect_set("id").alias("ids")).select("vector", "ids")
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(v, dim)).select(F.col(id_col).cast("bigint").alias("id"), F.transform(v, lambda x: (x + F.lit(0.0).cast("float")).cast("float")).alias("vector"))
+    keyed = rows.select("*", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(7), "vector").alias("h2"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = keyed.groupBy("h1", "h2", "salt").agg(F.collect_set("id").alias("ids"), F.first("vector").alias("vector"))
     first = F.slice(F.array_sort("ids"), 1, keep)
-    whole = members.groupBy("vector").agg(F.sum(F.size("ids")).alias("copies"), F.slice(F.array_sort(F.flatten(F.collect_list(first))), 1, keep).alias("ids"))
-    return whole.select(F.col("ids")[0].alias("rep"), "ids", "copies", "vector"), members
+    whole = members.groupBy("h1", "h2").agg(F.sum(F.size("ids")).alias("copies"), F.slice(F.array_sort(F.flatten(F.collect_list(first))), 1, keep).alias("ids"), F.first("vector").alias("vector"))
+    return whole.select(F.col("ids")[0].alias("rep"), "h1", "h2", "ids", "copies", "vector"), members.drop("vector")
 
 
 def nearest_vectors(
     vectors: DataFrame, k: int = 5, min_similarity: float = -1.0, id_col: str = "point_id", vector_col: str = "dense_vector", dim: int = 64,
-    list_size: int = 500, sample_rows: int = 100_000, replicate_ratio: float = 1.15, replicas: int = 3, probe_ratio: float = 1.35, probes: int = 5,
+    list_size: int = 500, sample_rows: int = 100_000, longest: int = 4_000, replicate_ratio: float = 1.15, replicas: int = 3, probe_ratio: float = 1.35, probes: int = 5,
 ) -> DataFrame:
     """point_id, neighbor, similarity (cosine, 6 places), rank (1 to k): the k most similar other points of every usable vector.
 
     Order: similarity, then the smaller id. Of these, rows below ``min_similarity`` are left out. Every usable vector is
-    indexed and every one searches; the centroids are fitted on at most ``sample_rows`` of them. A vector lies in the lists
+    indexed and every one searches; the centroids are fitted on at most ``sample_rows`` of them, a list for every ``list_size``
+    vectors, or for eight of the sample where that is fewer; a list that so holds more than ``longest`` is divided once more within its task, by its own vectors. A vector lies in the lists
     of up to ``replicas`` centroids within ``replicate_ratio`` of its nearest distance, and searches up to ``probes`` within
     ``probe_ratio``; the accuracy loss is what lies in none of these. Unusable vectors (null, of another length, with null, NaN or infinite
     components, all zero) and null ids give no rows; repeated rows count once; an id with several vectors is
     searched by each and may occur with each. Other columns are ignored.
     """
-    spark = vectors.sparkSession
     entries, members = distinct_vectors(vectors, id_col, vector_col, dim, k + 1)
     entries = cut(entries)
     n = entries.count()
@@ -151,26 +175,36 @@ def nearest_vectors(
     part = min(1.0, 1.1 * wanted / max(n, 1))
     picked = entries.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("vector").limit(wanted).toArrow()
     sample = _matrix(picked.column(0), dim) if picked.num_rows else np.ones((1, dim), np.float32)
-    index = ListIndex.fit(sample, lists)
+    index, reach = ListIndex.fit(sample, lists), Reach(replicate_ratio, replicas, probe_ratio, probes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit(_matrix(batch.column("vector"), dim).astype(np.float64)).astype(np.float32)
-            ids, sims = index.search(x, beam=max(8, probes))
-            ids, away = ids[:, :probes], np.sqrt(np.maximum(2 - 2 * sims[:, :probes], 1e-12))
-            near = away[:, :1]
-            searched = away <= near * probe_ratio
-            held = (away <= near * replicate_ratio) & (np.arange(ids.shape[1]) < replicas)
-            row, col = np.nonzero(searched | held)
+            row, ids, held, _ = reach.lists(index, x)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row, col].astype(np.int32)), pa.array(held[row, col]), batch.column("rep").take(at), batch.column("ids").take(at), batch.column("vector").take(at)], names=["list", "held", "rep", "ids", "vector"]
+                [pa.array(ids.astype(np.int32)), pa.array(held), batch.column("rep").take(at), batch.column("ids").take(at), batch.column("vector").take(at)], names=["list", "held", "rep", "ids", "vector"]
             )
 
     placed = entries.select("rep", "ids", "vector").mapInArrow(place, "list int, held boolean, rep bigint, ids array<bigint>, vector array<float>")
 
+    def groups(x: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(rows that search, rows that are searched, the first of the 512 to search now): one list, or those a long one is divided into."""
+        lists = [(np.arange(len(x)), data)]
+        if len(data) > longest:
+            own = ListIndex.fit(x[data[:: max(1, len(data) // 50_000)]], len(data) // list_size)
+            row, at, held, searched = reach.lists(own, x)
+            held &= np.isin(row, data)
+            order = np.argsort(at, kind="stable")
+            row, held, searched, ends = row[order], held[order], searched[order], np.cumsum(np.bincount(at, minlength=len(own.centroids)))
+            spans = [slice(a, b) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
+            lists = [(row[s][searched[s]], row[s][held[s]]) for s in spans]
+        for seekers, data in lists:
+            for i in range(0, len(seekers) if len(data) else 0, 512):
+                yield seekers, data, i
+
     def look(table: pa.Table) -> pa.Table:
         x = _matrix(table.column("vector"), dim).astype(np.float64)
         norms = np.sqrt(np.einsum("ij,ij->i", x, x))
@@ -179,14 +213,13 @@ def nearest_vectors(
         ids = table.column("ids").combine_chunks()
         id_flat, id_ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy())
         id_starts = id_ends - np.diff(np.concatenate([[0], id_ends]))
-        data = np.flatnonzero(table.column("held").to_numpy(zero_copy_only=False))
         out_q, out_id, out_sim = [], [], []
-        best = min(k + 1, len(data))
-        for i in range(0, len(x) if len(data) else 0, 512):
-            sims = small[i : i + 512] @ small[data].T
+        for seekers, data, i in groups(small, np.flatnonzero(table.column("held").to_numpy(zero_copy_only=False))):
+            best = min(k + 1, len(data))
+            sims = small[seekers[i : i + 512]] @ small[data].T
             floor = np.partition(sims, len(data) - best, axis=1)[:, len(data) - best] - 4e-6
             q, c = np.nonzero(sims >= np.maximum(floor, np.float32(min_similarity - 1e-5))[:, None])
-            q, c = q + i, data[c]
+            q, c = seekers[q + i], data[c]
             exact = np.round(np.einsum("ij,ij->i", x[q], x[c]) / (norms[q] * norms[c]), 6)
             ok = exact >= min_similarity
             q, c, exact = q[ok], c[ok], exact[ok]
@@ -205,13 +238,16 @@ def nearest_vectors(
         empty = np.zeros(0)
         return pa.table({"rep": pa.array(np.concatenate([*out_q, empty]).astype(np.int64)), "near": pa.array(np.concatenate([*out_id, empty]).astype(np.int64)), "sim": pa.array(np.concatenate([*out_sim, empty]))})
 
-    found = placed.repartition(width(spark), "list").groupBy("list").applyInArrow(look, "rep bigint, near bigint, sim double")
-    # at most probes * (k + 1) candidates an entry
+    found = placed.repartition(parts(entries), "list").groupBy("list").applyInArrow(look, "rep bigint, near bigint, sim double")
+    # at most probes * probes * (k + 1) candidates an entry
     best = found.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("less"), "near"))), 1, k + 1).alias("best"))
 
-    single = best.join(entries.where(F.col("copies") == 1).select("rep"), "rep", "left_semi").select(F.col("rep").alias("id"), "best")
-    copied = members.join(entries.where(F.col("copies") > 1).select("vector", "rep"), "vector").select("rep", "ids")
-    rows = single.unionByName(copied.join(best, "rep").select(F.explode("ids").alias("id"), "best"))
+    answers = best.join(entries.select("rep", "copies", "h1", "h2"), "rep")
+    rows = answers.where(F.col("copies") == 1).select(F.col("rep").alias("id"), "best")
+    few = members.join(answers.where((F.col("copies") > 1) & (F.col("copies") <= HOT)), ["h1", "h2"])
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    many = members.join(answers.where(F.col("copies") > HOT).select("h1", "h2", "best", salts), ["h1", "h2", "salt"])
+    rows = rows.unionByName(few.select(F.explode("ids").alias("id"), "best")).unionByName(many.select(F.explode("ids").alias("id"), "best"))
     others = F.slice(F.filter("best", lambda x: x["near"] != F.col("id")), 1, k)
     rows = rows.select(F.col("id").alias(id_col), F.posexplode(others).alias("rank", "hit"))
     return rows.select(id_col, F.col("hit.near").alias("neighbor"), (-F.col("hit.less")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
@@ -221,3 +257,18 @@ def similar_pairs(nearest: DataFrame, at_least: float, id_col: str = "point_id")
     """point_a < point_b of the pairs in which one is among the nearest of the other, at this similarity or more."""
     near = nearest.where(F.col("similarity") >= at_least)
     return near.select(F.least(id_col, "neighbor").alias("point_a"), F.greatest(id_col, "neighbor").alias("point_b")).distinct()
+
+
+def recall(vectors: DataFrame, nearest: DataFrame, k: int = 5, every: int = 100, floor: float = 0.85, id_col: str = "point_id", vector_col: str = "dense_vector", dim: int = 64) -> DataFrame:
+    """queries, neighbors, found, recall, recall_above: how much of the exact k nearest :func:`nearest_vectors` has found.
+
+    Queries are all usable vectors whose id is divisible by ``every``; they are compared with all vectors, block by
+    block. ``recall_above`` counts only neighbors of a similarity of ``floor`` or more. Without queries the recalls are null.
+    """
+    rows = vectors.where(usable(F.col(vector_col), dim)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).distinct()
+    exact = dense_topk_set(rows, rows.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "vector"), k + 1, key="id", query_key="query", vector="vector", dim=dim)
+    exact = top_per(exact.where(F.col("query") != F.col("id")).drop("rank"), ["query"], [F.desc("score"), F.col("id")], k)
+    got = nearest.where(F.col(id_col) % every == 0).select(F.col(id_col).alias("query"), F.col("neighbor").alias("id"), F.lit(1).alias("got")).distinct()
+    both = exact.join(got, ["query", "id"], "left")
+    hit, above = F.coalesce("got", F.lit(0)), F.col("score") >= floor
+    return both.agg(F.count_distinct("query").alias("queries"), F.count("*").alias("neighbors"), F.coalesce(F.sum(hit), F.lit(0)).alias("found"), F.avg(hit).alias("recall"), F.avg(F.when(above, hit)).alias("recall_above"))

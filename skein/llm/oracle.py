@@ -25,6 +25,10 @@ counts AS (SELECT point_id, term, count(*) AS n FROM terms GROUP BY ALL),
 held AS (SELECT *, count(*) OVER (PARTITION BY term) AS records FROM counts)
 SELECT point_id, term FROM held WHERE n >= 3 AND records BETWEEN 2 AND 6""",
     "p2_found": P2_RANKS + "SELECT DISTINCT query_id, point_id FROM medians WHERE worst_rank <= 3 AND lists >= 2 AND held = lists",
-    "p2_ranking": P2_RANKS + "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_rank, worst_rank, point_id, collection) AS position FROM medians",
+    "p2_ranking": P2_RANKS + "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_rank, point_id, collection) AS position FROM medians",
+    "p9_limits": """
+WITH d AS (SELECT replace(lower(trim(source, ' ')), '-', '_') AS source, count(DISTINCT doc_id) AS documents FROM documents WHERE length(text) > 0 GROUP BY 1),
+t AS (SELECT replace(lower(trim(source, ' ')), '-', '_') AS source, max(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY 1)
+SELECT source, target_share, max_repeats, coalesce(documents, 0) AS documents, true AS keeps_limit, true AS once FROM t LEFT JOIN d USING (source)""",
     "p6_found": "SELECT DISTINCT point_id FROM chunks WHERE length(content) > 2400",
 }

@@ -12,9 +12,9 @@ from skein.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every term is scored; the exact conditions of a case then pick from the result."""
+    """Terms that the model of their chunk makes more likely than the collection does; the exact conditions of a case then pick from these."""
     terms = distinctive.distinctive_terms(table(spark, d, "chunks"), min_count=3, min_records=2, max_records=6)
-    return terms.where(F.col("score") >= 0).select("point_id", "term")
+    return terms.where(F.col("score") > F.col("background")).select("point_id", "term")
 
 
 def p1_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def p1_indices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.leading_everywhere(ranking.median_rank(table(spark, d, "search_hits"), positions=False))
+    return ranking.leading_everywhere(p2_ranking(spark, d))
 
 
 def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +53,12 @@ def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.nearest_vectors(table(spark, d, "embedded_chunks"), k=5)
 
 
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of p4_nearest against brute force for every id divisible by 100."""
+    rows = table(spark, d, "embedded_chunks")
+    return neighbors.recall(rows, neighbors.nearest_vectors(rows, k=5))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_files(spark, d).where("other").select("record_id")
 
@@ -61,6 +67,13 @@ def p5_files(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.classify_files(table(spark, d, "file_records"))
 
 
+def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the files found the grammars tell by themselves, and how many need marks, names, folders or layout; by kind."""
+    rows = p5_files(spark, d).where("other")
+    told = F.when(~F.col("by_grammar"), "marks").when(F.size("evidence") > 0, "both").otherwise("grammar")
+    return rows.select(F.explode("kinds").alias("kind"), told.alias("told_by")).groupBy("kind", "told_by").agg(F.count("*").alias("records"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where(F.col("piece") == 2).select("point_id").distinct()
 
@@ -81,6 +94,15 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: its documents with tokens, and whether the mixture keeps its limit and uses a document once in the list."""
+    mixed, report = mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    used = mixed.groupBy("source").agg(F.max("copies").alias("most"), F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"))
+    both = report.join(F.broadcast(used), "source", "left")  # one row per target source
+    keeps = F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True))
+    return both.select("source", "target_share", "max_repeats", "documents", keeps.alias("keeps_limit"), F.coalesce(F.col("rows") == F.col("ids"), F.lit(True)).alias("once"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
 
@@ -93,4 +115,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.abuse_rates(p10_scores(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p1_indices, p2_found, p2_ranking, p3_found, p3_files, p3_rates, p4_found, p4_nearest, p5_found, p5_files, p6_found, p6_pieces, p8_ids, p9_report, p9_mixture, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p1_indices, p2_found, p2_ranking, p3_found, p3_files, p3_rates, p4_found, p4_nearest, p4_recall, p5_found, p5_files, p5_evidence, p6_found, p6_pieces, p8_ids, p9_report, p9_mixture, p9_limits, p10_found, p10_scores, p10_rates)}

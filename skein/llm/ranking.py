@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.session import cut, width
+from skein.session import cut, parts
 
 
 def spread_rank(df: DataFrame, group: list[str], order: list[Column], name: str, dense_ties: bool = True) -> DataFrame:
@@ -17,7 +17,7 @@ def spread_rank(df: DataFrame, group: list[str], order: list[Column], name: str,
     as partitions. Range bounds come from a sample and may differ when they are computed again, so the rows are
     written once with their partition number. With ``dense_ties`` false the order must be total.
     """
-    ranged = cut(df.repartitionByRange(width(df.sparkSession), *[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id()))
+    ranged = cut(df.repartitionByRange(parts(df), *[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id()))
     local = F.rank() if dense_ties else F.row_number()
     ranked = ranged.withColumn("_local", local.over(W.partitionBy("_part", *group).orderBy(*order)))
     sizes = ranged.groupBy("_part", *group).agg(F.count("*").alias("_n"))
@@ -46,17 +46,17 @@ def weighted_median(pairs: Column) -> Column:
     return (at(lambda s: s >= half) + F.coalesce(at(lambda s: s > half), at(lambda s: s >= half))) / 2
 
 
-def median_rank(hits: DataFrame, weights: dict[str, float] | None = None, positions: bool = True) -> DataFrame:
+def median_rank(hits: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """One ranking per query over the chunks of all its collections.
 
     ``hits``: query_id, collection, scorer, point_id, score (higher is better). A list is what one scorer returned for
     one query and collection; within it a point counts with its highest score; null and NaN scores are no scores.
     Each point has a rank in every list of its query and collection; where a list lacks it, one more than the list's
     length. Points are ordered by the weighted median of these ranks (``weights`` by scorer, 1 where absent or not
-    positive), then by mean rank, worst rank, point_id and collection. Only ranks are compared, so no scale dominates.
+    positive), then by mean rank, point_id and collection. Only ranks are compared, so no scale dominates.
 
     Result: query_id, collection, point_id, median_rank, mean_rank, worst_rank, lists (how many lists the query and
-    collection have), held (how many hold the point) and, with ``positions``, position (1 is best, unique per query). Repeated rows count once, a null query, collection or point is an ordinary value, no hits give no rows,
+    collection have), held (how many hold the point) and position (1 is best, unique per query). Repeated rows count once, a null query, collection or point is an ordinary value, no hits give no rows,
     other columns are ignored.
     """
     weight = F.lit(1.0)
@@ -79,13 +79,16 @@ def median_rank(hits: DataFrame, weights: dict[str, float] | None = None, positi
         "query_id", "collection", "point_id", weighted_median(F.col("pairs")).alias("median_rank"), (total / weight_sum).alias("mean_rank"),
         F.array_max(F.transform("pairs", lambda x: x["rank"])).alias("worst_rank"), F.size("pairs").alias("lists"), "held",
     )
-    if not positions:
-        return out
-    order = [F.col("median_rank"), F.col("mean_rank"), F.col("worst_rank"), F.col("point_id"), F.col("collection")]
+    order = [F.col("median_rank"), F.col("mean_rank"), F.col("point_id"), F.col("collection")]
     return spread_rank(out, ["query_id"], order, "position", dense_ties=False)
 
 
 def leading_everywhere(ranking: DataFrame, first: int = 3, at_least: int = 2) -> DataFrame:
-    """query_id, point_id of the points that are among the ``first`` in every list, where there are ``at_least`` lists."""
-    near = ranking.where((F.col("median_rank") <= first) & (F.col("worst_rank") <= first))
+    """query_id, point_id of the points at the head of a ranking that are among the ``first`` in every list, where there are ``at_least`` lists.
+
+    The head are the positions up to the last with a median rank of ``first`` or better: no other point can be among the first everywhere.
+    """
+    head = ranking.where(F.col("median_rank") <= first).groupBy("query_id").agg(F.max("position").alias("_head"))
+    near = ranking.join(head.withColumnRenamed("query_id", "_q"), F.col("query_id").eqNullSafe(F.col("_q"))).where(F.col("position") <= F.col("_head"))
+    near = near.where(F.col("worst_rank") <= first)
     return near.where((F.col("lists") >= at_least) & (F.col("held") == F.col("lists"))).select("query_id", "point_id").distinct()

@@ -30,6 +30,9 @@ TELLING = {
     "java": {"public": 1.5, "package": 1, "import": 1, "Object": 2, "String": 2, "final": 1, "extends": 1, "class": 1, "void": 1, ";": 0.2},
     "csharp": {"using": 3, "namespace": 4, "public": 1.5, "sealed": 2, "foreach": 3, "string": 1, "object": 2, "class": 1, "var": 0.5, ";": 0.2},
 }
+_KEYS = re.compile(r"^\s*(?:- |[\w\"'.-]+\s*:(?:\s|$))", re.M)
+#: Calls within each other that a grammar may make; they live on the heap, some 100 bytes each, and only while a text nests so deep.
+FRAMES = 4_000_000
 _TOKENS = re.compile(r":=|=>|\w+|[^\w\s]")
 
 
@@ -40,15 +43,13 @@ def language_name(language: str | None) -> str:
 
 
 def accepts(language: str, text: str) -> bool:
-    """Whether the text as a whole file is a sentence of the language. What nests beyond Python's limits is taken as one."""
+    """Whether the text as a whole file is a sentence of the language, however deep it nests (up to some 400,000 levels, beyond that it is none)."""
     limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 20_000))
+    sys.setrecursionlimit(max(limit, FRAMES))
     try:
         GRAMMARS[language](text)
-    except Reject:
+    except (Reject, RecursionError):
         return False
-    except RecursionError:
-        return True
     finally:
         sys.setrecursionlimit(limit)
     return True
@@ -62,15 +63,23 @@ def ranked_languages(text: str) -> list[str]:
     return sorted(score, key=lambda name: (-score[name], name))
 
 
-def diagnose(language: str, text: str) -> str | None:
-    """The most likely language other than ``language`` that accepts the text, None if none does.
+def judge(language: str, text: str) -> tuple[bool | None, str | None]:
+    """(whether the text is a sentence of the language, null without a grammar; the first of all grammars that accepts it, None if none does).
 
-    Almost any prose is a YAML scalar and an empty text a sentence of several languages, so YAML counts only if it
-    has keys or items, and texts without a token have no foreign language.
+    Grammars are tried in the order that the tokens suggest; those behind the first that accepts cannot change the
+    result and are left out, but for the language's own. Almost any prose is a YAML scalar and an empty text a sentence of several
+    languages, so foreign YAML counts only if it has keys or items, and texts without a token have no foreign language.
     """
-    if not text.strip():
-        return None
-    for name in ranked_languages(text):
-        if name != language and (name != "yaml" or re.search(r"^\s*(?:- |[\w\"'.-]+\s*:(?:\s|$))", text, re.M)) and accepts(name, text):
-            return name
-    return None
+    own, first = None, None
+    blank = not text.strip()
+    for name in [language] * (language in GRAMMARS) if blank else ranked_languages(text):
+        if name != language and (first or name == "yaml" and not _KEYS.search(text)):
+            continue
+        good = accepts(name, text)
+        if name == language:
+            own = good
+        if good and not first:
+            first = name
+        if first and (own is not None or language not in GRAMMARS):
+            break
+    return own, first

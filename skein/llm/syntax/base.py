@@ -66,7 +66,8 @@ class Cursor:
         """Runs a rule; if it rejects, steps back and says so."""
         at = self.i
         try:
-            rule(*args)
+            # spelled out, as calls with unpacked arguments would take the interpreter's own stack, which is short
+            rule() if not args else rule(args[0]) if len(args) == 1 else rule(*args)
         except Reject:
             self.i = at
             return False

@@ -19,7 +19,9 @@ TYPE_FOLLOWS = frozenset(["(", ")", "]", "}", ":", ";", ",", ".", "?", "==", "!=
 OPERAND = frozenset(["I", "N", "S", "C", "(", "!", "~", "this", "base", "new", "true", "false", "null", "typeof", "sizeof", "default", "checked", "unchecked", "delegate", "stackalloc", "static", "$", *PREDEFINED])
 
 _BLANK = re.compile(r"(?:[ \t\v\f\r\n\xa0\u1680\u2000-\u200a\u202f\u205f\u3000\u0085\u2028\u2029\ufeff]+|//[^\r\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)+")
-_DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(?:if|elif|else|endif|define|undef|warning|error|line|region|endregion|pragma|nullable|r|load)\b[^\r\n]*", re.M)
+_DIRECTIVE = re.compile(r"#[ \t]*(if|elif|else|endif|define|undef|warning|error|line|region|endregion|pragma|nullable|r|load)\b[ \t]*([^\r\n]*)")
+_SECTION = re.compile(r"^[ \t]*#[ \t]*(if|elif|else|endif)\b[ \t]*([^\r\n]*)", re.M)
+_CONDITION = re.compile(r"\s*(\|\||&&|==|!=|[!()]|[^\W\d]\w*)")
 _TOKEN = re.compile(
     r"""(?P<name>@?(?:[^\W\d]|\\u[0-9a-fA-F]{4})(?:\w|\\u[0-9a-fA-F]{4})*)"""
     r"""|(?P<number>0[xX][0-9a-fA-F_]+[uUlL]*|0[bB][01_]+[uUlL]*|(?:\d[\d_]*(?:\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[fFdDmMuUlL]*)"""
@@ -90,15 +92,110 @@ def _raw(text: str, at: int, quotes: str) -> int:
     return end
 
 
+class Sections:
+    """The conditional sections of a file: which lines there are for a compiler that defines no symbols but the file's own."""
+
+    def __init__(self) -> None:
+        self.symbols: set[str] = set()
+        self.open: list[str] = []  # if, else or region, the innermost last
+
+    def holds(self, condition: str) -> bool:
+        words, at = [], 0
+        condition = condition.split("//")[0].rstrip()
+        while at < len(condition):
+            m = _CONDITION.match(condition, at)
+            if not m:
+                raise Reject("condition of a directive")
+            words.append(m[1])
+            at = m.end()
+        words.append("")
+        place = 0
+
+        def operand() -> bool:
+            nonlocal place
+            word = words[place]
+            place += 1
+            if word == "!":
+                return not operand()
+            if word == "(":
+                value = binary(0)
+                if words[place] != ")":
+                    raise Reject("condition of a directive")
+                place += 1
+                return value
+            if not word or not (word[0].isalpha() or word[0] == "_"):
+                raise Reject("condition of a directive")
+            return word == "true" or word in self.symbols and word != "false"
+
+        def binary(level: int) -> bool:
+            nonlocal place
+            signs = (("||",), ("&&",), ("==", "!="))[level]
+            value = binary(level + 1) if level < 2 else operand()
+            while words[place] in signs:
+                sign = words[place]
+                place += 1
+                other = binary(level + 1) if level < 2 else operand()
+                value = value or other if sign == "||" else value and other if sign == "&&" else (value == other) == (sign == "==")
+            return value
+
+        value = binary(0)
+        if words[place]:
+            raise Reject("condition of a directive")
+        return value
+
+    def past(self, text: str, at: int) -> int:
+        """Where the text goes on after the directive at ``at``: behind its line, or behind the sections that it leaves out."""
+        m = _DIRECTIVE.match(text, at)
+        if not m or text[text.rfind("\n", 0, at) + 1 : at].strip(" \t\r\ufeff"):
+            raise Reject("directive")
+        word, rest = m[1], m[2]
+        if word in ("define", "undef"):
+            (self.symbols.add if word == "define" else self.symbols.discard)(rest.split("//")[0].strip())
+        elif word in ("region", "if"):
+            self.open.append(word)
+        if word == "if" and not self.holds(rest):
+            return self.skip(text, m.end(), True)
+        if word in ("elif", "else", "endif", "endregion"):
+            if not self.open or self.open[-1] not in (("region",) if word == "endregion" else ("if", "else")) or word in ("elif", "else") and self.open[-1] == "else":
+                raise Reject(f"#{word} without its beginning")
+            if word in ("elif", "else"):
+                return self.skip(text, m.end(), False)
+            self.open.pop()
+        return m.end()
+
+    def skip(self, text: str, at: int, wanted: bool) -> int:
+        """Behind the directive that ends the sections left out from ``at`` on; with ``wanted`` the next one that holds counts."""
+        depth = 0
+        for m in _SECTION.finditer(text, at):
+            if m[1] == "if":
+                depth += 1
+            elif depth:
+                depth -= m[1] == "endif"
+            elif m[1] == "endif":
+                self.open.pop()
+                return m.end()
+            elif self.open[-1] == "else":
+                raise Reject(f"#{m[1]} after #else")
+            else:
+                if m[1] == "else":
+                    self.open[-1] = "else"
+                if wanted and (m[1] == "else" or self.holds(m[2])):
+                    return m.end()
+        raise Reject("#if never closed")
+
+
 def tokens(text: str) -> tuple[list[str], list[str]]:
-    text = _DIRECTIVE.sub("", text)
     kinds, texts, at, n = [], [], 0, len(text)
+    sections = Sections()
     match, blank = _TOKEN.match, _BLANK.match
     while at < n:
         m = blank(text, at)
         if m:
             at = m.end()
             continue
+        if text[at] == "#":
+            at = sections.past(text, at)
+            continue
         m = match(text, at)
         if not m:
             raise Reject(f"character {text[at]!r}")
@@ -120,6 +217,8 @@ def tokens(text: str) -> tuple[list[str], list[str]]:
                 at = _raw(text, m.start(), t)
             kinds.append("S")
         texts.append(t)
+    if sections.open:
+        raise Reject(f"#{sections.open[-1]} never closed")
     return kinds, texts
 
 
@@ -127,6 +226,7 @@ class CSharp(Cursor):
     def __init__(self, text: str):
         super().__init__(*tokens(text.removeprefix("\ufeff")))
         self.place = False
+        self.types: dict[tuple[int, bool], int] = {}
 
     # -- types, by look-ahead: each returns the index after, or -1
 
@@ -152,6 +252,13 @@ class CSharp(Cursor):
                 return -1
 
     def past_type(self, i: int, suffixes: bool = True) -> int:
+        """Where the type at ``i`` ends, -1 if there is none; found once a place, as brackets within brackets ask again and again."""
+        known = self.types.get((i, suffixes))
+        if known is None:
+            known = self.types[i, suffixes] = self._past_type(i, suffixes)
+        return known
+
+    def _past_type(self, i: int, suffixes: bool) -> int:
         k = self.k[i]
         if k in ("ref", "readonly"):
             return self.past_type(i + 1, suffixes)

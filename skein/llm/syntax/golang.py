@@ -62,6 +62,7 @@ def tokens(text: str) -> tuple[list[str], list[str]]:
 class Go(Cursor):
     def __init__(self, text: str):
         super().__init__(*tokens(text.removeprefix("\ufeff")))
+        self.no_type: set[int] = set()  # where brackets within brackets have asked for a type in vain
         self.literals = True  # composite literals of a plain type name: not in the heads of if, for and switch
 
     def end(self) -> None:
@@ -156,6 +157,8 @@ class Go(Cursor):
                 return
 
     def type(self) -> None:
+        if self.i in self.no_type:
+            raise self.fail("instead of a type")
         k = self.k[self.i]
         if k == "I":
             self.i += 1
@@ -434,12 +437,18 @@ class Go(Cursor):
 
     def value_or_type(self) -> None:
         at = self.i
-        if self.attempt(self.expression) and self.k[self.i] in (",", ")", "]", "}", ":", ";", "..."):
+        if self.attempt(self.expression):
+            after = self.i
+            if self.k[after] not in (",", ")", "]", "}", ":", ";", "..."):
+                self.i = at
+                if not self.attempt(self.type):
+                    self.i = after
             return
-        self.i = at
-        if not self.attempt(self.type):
-            self.i = at
-            self.expression()
+        try:
+            self.type()
+        except Reject:
+            self.no_type.add(at)
+            raise
 
     def expression(self) -> None:
         self.unary()

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.session import width
+from skein.session import spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -151,11 +151,6 @@ class Encoder:
         return ids, token_ends[bounds[1:]] - token_ends[bounds[:-1]]
 
 
-def _spread(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two columns, spread over the session's width by id, so that few large input files do not limit the tasks."""
-    return docs.select(id_col, text_col).repartition(width(docs.sparkSession), id_col)
-
-
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``id_col``, ``ids array<int>``: the token ids of every text, without special tokens.
 
@@ -173,7 +168,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _spread(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -188,4 +183,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lengths)], names=[*names, "tokens"])
 
     fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(*names, text_col).repartition(width(docs.sparkSession), id_col).mapInArrow(run, f"{fields}, tokens bigint")
+    return spread(docs.select(*names, text_col)).mapInArrow(run, f"{fields}, tokens bigint")

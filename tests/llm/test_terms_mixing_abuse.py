@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import abuse, distinctive, mixing
 
@@ -91,9 +92,13 @@ def test_plan_meets_targets_and_limits():
         assert all(b <= tokens[k] * repeats[k] * (1 + 1e-9) for k, b in plan.budgets.items()) and "d" not in plan.budgets
         assert sum(plan.budgets.values()) == pytest.approx(plan.total)
     exact = mixing.plan_mix(tokens, targets, repeats, 100)
-    assert {k: b / 100 for k, b in exact.budgets.items()} == pytest.approx({"a": 0.5 / 0.9, "b": 0.3 / 0.9, "c": 0.1 / 0.9}) and exact.exponent == 1
-    path = mixing.plan_mix(tokens, targets, repeats, 400, pin=False)
-    assert 0 < path.exponent < 1 and path.budgets["c"] == pytest.approx(30, rel=1e-6)
+    assert {k: b / 100 for k, b in exact.budgets.items()} == pytest.approx({"a": 0.5 / 0.9, "b": 0.3 / 0.9, "c": 0.1 / 0.9}) and set(exact.exponents.values()) == {1}
+    path = mixing.plan_mix(tokens, targets, repeats, 400, shared=True)
+    assert len(set(path.exponents.values())) == 1 and 0 < path.exponents["c"] < 1 and path.budgets["c"] == pytest.approx(30, rel=1e-6)
+    own = mixing.plan_mix(tokens, targets, repeats, 400)
+    a = own.exponents["c"]
+    assert own.exponents["a"] == own.exponents["b"] == 1 and 0 < a < 1 and own.budgets["c"] == pytest.approx(30, rel=1e-6)
+    assert (10 / 1510) ** (1 - a) * (0.1 / 0.9) ** a == pytest.approx(30 / 400) and own.budgets["a"] / own.budgets["b"] == pytest.approx(5 / 3)
     assert mixing.plan_mix({}, targets, repeats).budgets == {}
 
 
@@ -125,11 +130,24 @@ def test_mixture(spark):
     assert sorted(map(tuple, mixing.mixture(docs, targets)[0].collect())) == sorted(map(tuple, rows))
     small, _ = mixing.mixture(docs, targets, total_tokens=500)
     assert abs(sum(r.tokens * r.copies for r in small.collect()) - 500) < 120
+    assert facts["tiny"].exponent < 1 and facts["issue"].exponent == 1 and facts["none"].exponent is None
     for d, t in ((docs.limit(0), targets), (docs, targets.limit(0))):
         m, r = mixing.mixture(d, t)
         assert m.count() == 0 and all(x.actual_share == 0 for x in r.collect())
 
 
+def test_budgets_are_filled_with_documents_that_fit(spark):
+    """A huge document within the part that is drawn does not end it."""
+    sizes = [5000 if i % 7 == 0 else 10 + i % 13 for i in range(400)]
+    docs = spark.createDataFrame([(i, "s", n) for i, n in enumerate(sizes)], "doc_id bigint, source string, tokens bigint")
+    docs = docs.withColumn("key", F.xxhash64("doc_id")).withColumn("block", F.pmod("key", F.lit(4)).cast("int"))
+    for budget in (30, 700, 4000, 6000, 20_000, sum(sizes)):
+        got = mixing.fill(docs, {"s": budget}).collect()
+        drawn = sum(r.tokens for r in got if r.extra)
+        left = [r.tokens for r in got if not r.extra]
+        assert len(got) == 400 and 0 <= budget - drawn < (min(left) if budget < 5000 else 5000 if left else 1)
+
+
 BAD = ["you are a worthless idiot", "shut up you moron", "du bist ein vollidiot", "ferme ta gueule connard", "i will hurt you"]
 GOOD = ["the build fails after the last change", "stupid question does this cache", "the word list holds idiot and moron", "please add a test", "der ablauf bricht ab", "il manque un test"]
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from skein.llm import handwritten, neighbors, syntax, validity
+from skein.llm.syntax import data
 from skein.llm.syntax.base import Reject
 
 VECTORS = "point_id bigint, dense_vector array<float>, rep int, ids string"
@@ -213,6 +214,33 @@ def test_javascript_agrees_with_an_engine(tmp_path):
         assert syntax.accepts("javascript", text) == ok, (n, text)
 
 
+def test_nesting_changes_no_verdict():
+    """Within the grammars' own limits, a hundred thousand brackets are judged as three are."""
+    n = 100_000
+    good = {"json": ("[", "", "]"), "toml": ("[", "", "]"), "javascript": ("(", "1", ")"), "typescript": ("[", "1", "]"), "go": ("(", "1", ")"), "java": ("(", "1", ")"), "csharp": ("(", "1", ")")}
+    frame = {"json": ("", ""), "toml": ("x=", ""), "javascript": ("x=", ";"), "typescript": ("let x=", ";"), "go": ("package p\nvar x = ", "\n"), "java": ("class A{int x=", ";}"), "csharp": ("class A{int x=", ";}")}
+    for language, (left, core, right) in good.items():
+        before, after = frame[language]
+        assert syntax.accepts(language, before + left * n + core + right * n + after), language
+        for bad in (left * n + core + right * (n - 1), left * n + ";" + right * n):
+            assert not syntax.accepts(language, before + bad + after), language
+    for text, ok in (('{"a":' * n + "1" + "}" * n, True), ('{"a":' * n + "}" * n, False), ("[1," * n + "]" * n, False), ("[1,2,{}]", True)):
+        assert syntax.accepts("json", text) == ok
+    data.deep_json('{"a": [1, -2.5e3, "\\u00e9", {}, []], "b": null}')
+    for text in ("", "[", "{,}", '{"a"}', "[1,]", "[1 2]", '{"a":1,}', "01", "1 2"):
+        with pytest.raises(Reject):
+            data.deep_json(text)
+
+
+def test_csharp_sections_that_are_left_out():
+    for text, ok in (
+        ("#if A\nclass X {\n#else\nclass X : Y {\n#endif\n}\n", True), ("class A{}\n#if false\nplain words, it's so\n#endif\n", True), ("#define A\n#if A && !(B || C)\nclass X{}\n#elif D\n(((\n#else\n)))\n#endif", True),
+        ("#if A\nclass X{}", False), ("class X{}\n#endif", False), ("#if A == true\n((\n#endif", True), ("#if A != true\n((\n#endif", False), ("#region a\nclass X{}", False), ("#if A\n#if B\n((\n#endif\n#else\nclass X{}\n#endif", True),
+        ("#if\nclass X{}\n#endif", False), ('class X{ string s = @"\n#if x\n"; }', True), ("class X{ int a; # if\n}", False),
+    ):
+        assert syntax.accepts("csharp", text) == ok, text
+
+
 def test_files_are_judged_and_diagnosed(spark):
     rows = [
         (1, "c", "a.py", "python", "x = 1"), (2, "c", "b.py", "python", "package a\n\nfunc f() {\n\treturn\n}\n"), (3, "c", "c.py", "python", "def f(:\n  ("), (4, "c", "d.md", "markdown", "# ("), (5, "c", "e", None, "("), (6, "c", "f", "unknown", "("),
@@ -220,7 +248,7 @@ def test_files_are_judged_and_diagnosed(spark):
     ]
     files = spark.createDataFrame([(*r, True, "x") for r in rows + rows[:3]], "record_id bigint, collection string, rel_path string, language string, content string, valid boolean, parses_as string")
     got = {r.record_id: (r.valid, r.parses_as) for r in validity.check_files(files).collect()}
-    assert got == {1: (True, None), 2: (False, "go"), 3: (False, None), 4: (None, None), 5: (None, None), 6: (None, None), 7: (False, None), 9: (False, None), 10: (True, None)}
+    assert got == {1: (True, "python"), 2: (False, "go"), 3: (False, None), 4: (None, None), 5: (None, None), 6: (None, None), 7: (False, None), 9: (False, None), 10: (True, "python")}
     rates = {(r.collection, r.language): (r.files, r.invalid, r.wrong_extension, r.damaged, r.rate) for r in validity.invalid_rates(validity.check_files(files)).collect()}
     assert rates == {("c", "python"): (4, 2, 1, 1, 0.5), ("c", "json"): (1, 1, 0, 1, 1.0), (None, "TypeScript"): (1, 1, 0, 1, 1.0)}
     assert validity.check_files(files.limit(0)).count() == 0
