@@ -3,6 +3,7 @@
 Centroids come from a balanced hierarchical clustering of a bounded sample; they are searched by an in-memory graph of
 near centroids. Every vector is written to the lists of its nearest centroids, boundary vectors to several of them
 (those within a ratio of the nearest distance), and looks for its neighbours in a few more, pruned by a wider ratio.
+Lists of near centroids are kept together by one task, to which a vector is sent once for all of them.
 Equal vectors are one entry with their smallest ids, so a third of all rows being copies of one vector makes no list
 long. A list that is long all the same, because the sample has too few vectors for so many or they crowd, is taken apart into posting
 lists of its own by the task that holds it. Candidates are found with single-precision products and ranked by the double-precision cosine.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from skein.session import cut, parts
 
 #: Equal vectors are gathered by this many salts first; those with more than HOT copies are also joined by them.
 SALTS, HOT = 256, 4096
+#: Lists in a group.
+TOGETHER = 24
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -67,11 +71,12 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 11) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ListIndex:
-    """Centroids, the graph of their nearest centroids, and entry points spread over them."""
+    """Centroids, the graph of their nearest centroids, entry points spread over them, and the group of near lists that each belongs to."""
 
     centroids: np.ndarray
     graph: np.ndarray
     entries: np.ndarray
+    group: np.ndarray
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, degree: int = 16) -> ListIndex:
@@ -84,32 +89,48 @@ class ListIndex:
             if degree:
                 graph[i : i + 512] = np.argpartition(-sims, degree - 1, axis=1)[:, :degree]
         pivots = balanced_centroids(c, max(1, math.isqrt(len(c)))) if len(c) > 1 else c
-        return cls(c, graph, np.unique(np.argmax(pivots @ c.T, axis=1)).astype(np.int32))
+        heads = balanced_centroids(c, max(1, len(c) // TOGETHER)) if len(c) > 1 else c
+        return cls(c, graph, np.unique(np.argmax(pivots @ c.T, axis=1)).astype(np.int32), np.argmax(c @ heads.T, axis=1).astype(np.int32))
 
-    def search(self, x: np.ndarray, beam: int = 8, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """(lists, cosines), nearest first, of the ``beam`` centroids that the graph search finds for each unit vector."""
-        beam = min(beam, len(self.centroids))
+    @cached_property
+    def around(self) -> list[np.ndarray]:
+        """The centroids within two steps of the graph from each entry point."""
+        return [np.unique(np.concatenate([[e], self.graph[e], self.graph[self.graph[e]].ravel()])) for e in self.entries]
+
+    def search(self, x: np.ndarray, beam: int = 8, starts: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, cosines), nearest first, of the ``beam`` centroids nearest to each unit vector among those around its ``starts`` nearest entry points.
+
+        All vectors that start at one point are compared with the centroids around it in one product. Where these are fewer than ``beam``, -1 stands for none.
+        """
         ids, sims = [], []
-        for i in range(0, len(x), 512):
-            a, b = self._search(x[i : i + 512], beam, rounds)
+        for i in range(0, len(x), 8192):
+            a, b = self._search(x[i : i + 8192], beam, starts)
             ids.append(a)
             sims.append(b)
         return np.concatenate(ids), np.concatenate(sims)
 
-    def _search(self, x: np.ndarray, beam: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        first = min(4, len(self.entries))
-        start = np.argpartition(-(x @ self.centroids[self.entries].T), first - 1, axis=1)[:, :first]
-        ids = self.entries[start]
-        for step in range(rounds + 1):
-            wide = np.concatenate([ids, self.graph[ids].reshape(len(x), -1)], axis=1)
-            wide.sort(axis=1)
-            sims = np.einsum("bkd,bd->bk", self.centroids[wide], x)
-            sims[:, 1:][wide[:, 1:] == wide[:, :-1]] = -3
-            keep = min(beam, wide.shape[1])
-            top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-            ids, best = np.take_along_axis(wide, top, 1), np.take_along_axis(sims, top, 1)
-        order = np.argsort(-best, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+    def _search(self, x: np.ndarray, beam: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
+        starts = min(starts, len(self.entries))
+        near = np.argpartition(-(x @ self.centroids[self.entries].T), starts - 1, axis=1)[:, :starts]
+        ids, sims = np.full((len(x), starts, beam), -1, np.int32), np.full((len(x), starts, beam), -3, np.float32)
+        order = np.argsort(near, axis=None, kind="stable")
+        ends = np.cumsum(np.bincount(near.ravel(), minlength=len(self.entries)))
+        for e, (begin, end) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
+            if begin == end:
+                continue
+            row, slot = np.divmod(order[begin:end], starts)
+            those = self.around[e]
+            found = x[row] @ self.centroids[those].T
+            keep = min(beam, len(those))
+            top = np.argpartition(-found, keep - 1, axis=1)[:, :keep]
+            ids[row, slot, :keep], sims[row, slot, :keep] = those[top], np.take_along_axis(found, top, 1)
+        ids, sims = ids.reshape(len(x), -1), sims.reshape(len(x), -1)
+        order = np.argsort(ids, axis=1)
+        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -3
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
+        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        return np.where(sims > -3, ids, -1), sims
 
 
 @dataclass(frozen=True)
@@ -123,12 +144,12 @@ class Reach:
 
     def lists(self, index: ListIndex, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, list, held, searched) for every list that a unit vector is held by or searches."""
-        ids, sims = index.search(x, beam=max(8, 2 * self.probes))
-        ids, away = ids[:, : self.probes], np.sqrt(np.maximum(2 - 2 * sims[:, : self.probes], 1e-12))
+        ids, sims = index.search(x, self.probes)
+        away = np.sqrt(np.maximum(2 - 2 * sims, 1e-12))
         near = away[:, :1]
         searched = away <= near * self.probe_ratio
         held = (away <= near * self.replicate_ratio) & (np.arange(ids.shape[1]) < self.replicas)
-        row, col = np.nonzero(searched | held)
+        row, col = np.nonzero((searched | held) & (ids >= 0))
         return row, ids[row, col], held[row, col], searched[row, col]
 
 
@@ -155,7 +176,7 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int,
 
 def nearest_vectors(
     vectors: DataFrame, k: int = 5, min_similarity: float = -1.0, id_col: str = "point_id", vector_col: str = "dense_vector", dim: int = 64,
-    list_size: int = 500, sample_rows: int = 100_000, longest: int = 4_000, replicate_ratio: float = 1.15, replicas: int = 3, probe_ratio: float = 1.35, probes: int = 5,
+    list_size: int = 500, sample_rows: int = 100_000, longest: int = 8_000, replicate_ratio: float = 1.2, replicas: int | None = None, probe_ratio: float = 1.6, probes: int | None = None,
 ) -> DataFrame:
     """point_id, neighbor, similarity (cosine, 6 places), rank (1 to k): the k most similar other points of every usable vector.
 
@@ -163,7 +184,8 @@ def nearest_vectors(
     indexed and every one searches; the centroids are fitted on at most ``sample_rows`` of them, a list for every ``list_size``
     vectors, or for eight of the sample where that is fewer; a list that so holds more than ``longest`` is divided once more within its task, by its own vectors. A vector lies in the lists
     of up to ``replicas`` centroids within ``replicate_ratio`` of its nearest distance, and searches up to ``probes`` within
-    ``probe_ratio``; the accuracy loss is what lies in none of these. Unusable vectors (null, of another length, with null, NaN or infinite
+    ``probe_ratio``; by default these grow slowly with the number of lists (8 probes and 4 replicas at 243), as a vector's neighbors lie in
+    ever more of them; the accuracy loss is what lies in none (see :func:`recall`). Unusable vectors (null, of another length, with null, NaN or infinite
     components, all zero) and null ids give no rows; repeated rows count once; an id with several vectors is
     searched by each and may occur with each. Other columns are ignored.
     """
@@ -175,6 +197,8 @@ def nearest_vectors(
     part = min(1.0, 1.1 * wanted / max(n, 1))
     picked = entries.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("vector").limit(wanted).toArrow()
     sample = _matrix(picked.column(0), dim) if picked.num_rows else np.ones((1, dim), np.float32)
+    probes = probes or max(6, round(8 * (lists / 243) ** 0.2))
+    replicas = replicas or -(-probes // 2)
     index, reach = ListIndex.fit(sample, lists), Reach(replicate_ratio, replicas, probe_ratio, probes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,27 +207,37 @@ def nearest_vectors(
                 continue
             x = unit(_matrix(batch.column("vector"), dim).astype(np.float64)).astype(np.float32)
             row, ids, held, _ = reach.lists(index, x)
-            at = pa.array(row)
+            together = index.group[ids]
+            order = np.lexsort((together, row))
+            row, ids, held, together = row[order], ids[order], held[order], together[order]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (together[1:] != together[:-1])]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array((ids * 2 + held).astype(np.int32)))
+            at = pa.array(row[first])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids.astype(np.int32)), pa.array(held), batch.column("rep").take(at), batch.column("ids").take(at), batch.column("vector").take(at)], names=["list", "held", "rep", "ids", "vector"]
+                [pa.array(together[first]), lists, batch.column("rep").take(at), batch.column("ids").take(at), batch.column("vector").take(at)], names=["group", "lists", "rep", "ids", "vector"]
             )
 
-    placed = entries.select("rep", "ids", "vector").mapInArrow(place, "list int, held boolean, rep bigint, ids array<bigint>, vector array<float>")
-
-    def groups(x: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(rows that search, rows that are searched, the first of the 512 to search now): one list, or those a long one is divided into."""
-        lists = [(np.arange(len(x)), data)]
-        if len(data) > longest:
-            own = ListIndex.fit(x[data[:: max(1, len(data) // 50_000)]], len(data) // list_size)
-            row, at, held, searched = reach.lists(own, x)
-            held &= np.isin(row, data)
-            order = np.argsort(at, kind="stable")
-            row, held, searched, ends = row[order], held[order], searched[order], np.cumsum(np.bincount(at, minlength=len(own.centroids)))
-            spans = [slice(a, b) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
-            lists = [(row[s][searched[s]], row[s][held[s]]) for s in spans]
+    placed = entries.select("rep", "ids", "vector").mapInArrow(place, "group int, lists array<int>, rep bigint, ids array<bigint>, vector array<float>")
+
+    def posted(row: np.ndarray, at: np.ndarray, held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows that search, rows that are held) of every list."""
+        order = np.argsort(at, kind="stable")
+        row, held, at = row[order], held[order], at[order]
+        edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield row[a:b], row[a:b][held[a:b]]
+
+    def searches(x: np.ndarray, lists: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows that search, 512 at most, rows that are searched): of every list, or of those that a long one is divided into."""
         for seekers, data in lists:
-            for i in range(0, len(seekers) if len(data) else 0, 512):
-                yield seekers, data, i
+            parts = [(seekers, data)]
+            if len(data) > longest:
+                own = ListIndex.fit(x[data[:: max(1, len(data) // 50_000)]], len(data) // list_size)
+                row, at, held, _ = reach.lists(own, x[seekers])
+                parts = posted(seekers[row], at, held & np.isin(seekers[row], data))
+            for q, c in parts:
+                for i in range(0, len(q) if len(c) else 0, 512):
+                    yield q[i : i + 512], c
 
     def look(table: pa.Table) -> pa.Table:
         x = _matrix(table.column("vector"), dim).astype(np.float64)
@@ -214,12 +248,15 @@ def nearest_vectors(
         id_flat, id_ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy())
         id_starts = id_ends - np.diff(np.concatenate([[0], id_ends]))
         out_q, out_id, out_sim = [], [], []
-        for seekers, data, i in groups(small, np.flatnonzero(table.column("held").to_numpy(zero_copy_only=False))):
+        lists = table.column("lists").combine_chunks()
+        coded = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(x)), lists.value_lengths().to_numpy())
+        for seekers, data in searches(small, posted(row, coded >> 1, (coded & 1).astype(bool))):
             best = min(k + 1, len(data))
-            sims = small[seekers[i : i + 512]] @ small[data].T
+            sims = small[seekers] @ small[data].T
             floor = np.partition(sims, len(data) - best, axis=1)[:, len(data) - best] - 4e-6
             q, c = np.nonzero(sims >= np.maximum(floor, np.float32(min_similarity - 1e-5))[:, None])
-            q, c = seekers[q + i], data[c]
+            q, c = seekers[q], data[c]
             exact = np.round(np.einsum("ij,ij->i", x[q], x[c]) / (norms[q] * norms[c]), 6)
             ok = exact >= min_similarity
             q, c, exact = q[ok], c[ok], exact[ok]
@@ -238,7 +275,7 @@ def nearest_vectors(
         empty = np.zeros(0)
         return pa.table({"rep": pa.array(np.concatenate([*out_q, empty]).astype(np.int64)), "near": pa.array(np.concatenate([*out_id, empty]).astype(np.int64)), "sim": pa.array(np.concatenate([*out_sim, empty]))})
 
-    found = placed.repartition(parts(entries), "list").groupBy("list").applyInArrow(look, "rep bigint, near bigint, sim double")
+    found = placed.repartition(parts(entries), "group").groupBy("group").applyInArrow(look, "rep bigint, near bigint, sim double")
     # at most probes * probes * (k + 1) candidates an entry
     best = found.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("less"), "near"))), 1, k + 1).alias("best"))
 

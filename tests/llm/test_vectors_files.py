@@ -57,6 +57,10 @@ def test_recall_over_many_lists(spark):
     x[:1000] = (centers[0] + 0.2 * rng.normal(size=(1000, 64))).astype(np.float32)  # a third lies in one place
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame([(i, v, 0, "") for i, v in rows], VECTORS)
+    for more in ({"list_size": 60}, {"list_size": 60, "longest": 40, "probes": 12}):  # the latter divides its lists once more
+        got, want = near(df, k=5, **more), brute(rows, 5, -1)
+        assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.9 * sum(map(len, want.values()))
+    assert neighbors.recall(df, neighbors.nearest_vectors(df, k=5, list_size=60), every=7).first().recall >= 0.9
     got, want = near(df, k=5, list_size=60), brute(rows, 5, -1)
     found = sum(len({n for n, _ in got[i]} & {n for n, _ in want[i]}) for i in want) / (5 * len(want))
     assert found >= 0.9
@@ -248,7 +252,7 @@ def test_files_are_judged_and_diagnosed(spark):
     ]
     files = spark.createDataFrame([(*r, True, "x") for r in rows + rows[:3]], "record_id bigint, collection string, rel_path string, language string, content string, valid boolean, parses_as string")
     got = {r.record_id: (r.valid, r.parses_as) for r in validity.check_files(files).collect()}
-    assert got == {1: (True, "python"), 2: (False, "go"), 3: (False, None), 4: (None, None), 5: (None, None), 6: (None, None), 7: (False, None), 9: (False, None), 10: (True, "python")}
+    assert got == {1: (True, "toml"), 2: (False, "go"), 3: (False, None), 4: (None, None), 5: (None, None), 6: (None, None), 7: (False, None), 9: (False, None), 10: (True, "python")}
     rates = {(r.collection, r.language): (r.files, r.invalid, r.wrong_extension, r.damaged, r.rate) for r in validity.invalid_rates(validity.check_files(files)).collect()}
     assert rates == {("c", "python"): (4, 2, 1, 1, 0.5), ("c", "json"): (1, 1, 0, 1, 1.0), (None, "TypeScript"): (1, 1, 0, 1, 1.0)}
     assert validity.check_files(files.limit(0)).count() == 0
