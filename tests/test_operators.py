@@ -88,6 +88,16 @@ def test_imports():
     assert chunking.imported_names('import "net/http"', "go") == ["http"]
     assert chunking.imported_names("use a::b as c;", "rust") == ["c"]
     assert chunking.imported_names('#include "x/y.h"', "c") == ["y"]
+    for line, language, names in (
+        ("import java.util.*;", "java", None), ("package a.b;", "java", None), ("import static a.B.c;", "java", ["c"]), ("using A.B;", "csharp", ["B"]), ("using X = A.B;", "csharp", ["X"]), ("using var f = Open();", "csharp", []),
+        ("using (var f = Open())", "csharp", []), ("using Stream f = Open();", "csharp", []), ("namespace A.B;", "csharp", None), ("import D, { type T, a as b } from 'x';", "typescript", ["D", "T", "b"]), ("import type { T } from 'x';", "typescript", ["T"]),
+        ("import * as ns from 'x';", "javascript", ["ns"]), ("import 'x';", "javascript", []), ("const { a, b: c } = require('x');", "javascript", ["a", "c"]), ("const f = { a, b };", "javascript", []), ("if (x) { y }", "javascript", []),
+        ('import h "net/http"', "go", ["h"]), ('_ "a/b"', "go", []), ('. "a/b"', "go", None), ('"a/b"', "go", ["b"]), ("use a::{b, c as d, e::{self, f}};", "rust", ["b", "d", "e", "f"]), ("use a::*;", "rust", None), ("import x", "sql", []),
+        ("import a.b.c", "python", ["c"]), ("x = 1", "python", []), ("import (", "python", []), ('#include <vector>', "cpp", []), ("#define N 3", "c", ["N"]),
+    ):
+        assert chunking.imported_names(line, language) == names, line
+    assert chunking.declared('package a\n\nimport (\n\t"fmt" // x\n\ty "b/z"\n)\n', "go") == ["*", "fmt", "y"]
+    assert chunking.declared("from a import (\n  b,\n  c as d,\n)\n\ndef f():\n    import e\n", "python") == ["b", "d", "e"]
     header = chunking.with_import_header("x = List()", ["import java.util.List;", "import java.util.Map;"], "java")
     assert header == "import java.util.List;\nx = List()"
     assert chunking.with_import_header(header, ["import java.util.List;"], "java") == header
@@ -103,6 +113,18 @@ def test_dependencies():
     assert [d[0] for d in dependencies.manifest_dependencies("numpy>=1\n# x\nrich\n", "requirements.txt")] == ["numpy", "rich"]
     assert [d[0] for d in dependencies.manifest_dependencies('<PackageReference Include="A" Version="1" /><ProjectReference Include="..\\B\\B.csproj" />', "x.csproj")] == ["A", "B"]
     assert dependencies.manifest_dependencies("x", "main.go") == []
+    nested = '{"name": "n", "dependencies": {"a": "1", "b": {"x": "y"}}, "peerDependencies": {"c": "2"}}'
+    assert [(d.artifact, d.scope) for d in dependencies.manifest_dependencies(nested, "package.json")] == [("a", "dependencies"), ("c", "peerDependencies")]
+    assert [d.artifact for d in dependencies.manifest_dependencies('x "dependencies": {"a": "1"} "devDependencies": {', "package.json")] == ["a"]
+    full = '<?xml version="1.0"?><project xmlns="http://x/y"><!-- <dependency><groupId>no</groupId><artifactId>no</artifactId></dependency> --><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><scope>test</scope></dependency></dependencies></project>'
+    assert dependencies.manifest_dependencies(full, "pom.xml") == [("a", "g", "", "test", "maven")]
+    assert [d.artifact for d in dependencies.manifest_dependencies(full[:-20] + "<", "pom.xml")] == ["a"]
+    assert dependencies.manifest_dependencies('[dependencies]\nserde = { version = "1", features = ["x"] }\nlocal = { path = "." }\n', "Cargo.toml") == [("serde", "", "1", "", "cargo"), ("local", "", "", "", "cargo")]
+    assert [d.artifact for d in dependencies.manifest_dependencies('[project]\ndependencies = [\n  "numpy>=1", # "no"\n  "rich[x] ; python_version > \'3\'",\n]\n', "pyproject.toml")] == ["numpy", "rich"]
+    assert [d.artifact for d in dependencies.manifest_dependencies("[metadata]\nname = x\n[options]\ninstall_requires =\n  a>1\n  b\n", "setup.cfg")] == ["a", "b"]
+    assert dependencies.manifest_dependencies('// api "n:o:1"\napi(platform("g:a:1"))\ntestImplementation "g:b"\n', "build.gradle.kts") == [("a", "g", "1", "", "gradle"), ("b", "g", "", "", "gradle")]
+    for path in ("pom.xml", "a.csproj", "package.json", "build.gradle", "go.mod", "Cargo.toml", "pyproject.toml", "requirements.txt", "setup.cfg"):
+        assert dependencies.manifest_dependencies("", path) == [] and isinstance(dependencies.manifest_dependencies("{<[(\"", path), list)
 
 
 def test_dependency_matches(spark):
