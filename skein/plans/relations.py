@@ -40,12 +40,12 @@ def import_names(spark, d):
 
 
 def token_stems(spark, d):
-    rows = chunks(spark, d).select(F.explode(text.kept_tokens(F.col("content"))).alias("token")).distinct()
+    rows = chunks(spark, d, "content").select(F.explode(text.kept_tokens(F.col("content"))).alias("token")).distinct()
     return rows.select("token", terms.stem_udf("token").alias("stem"), terms.token_id_udf("token").alias("token_id"))
 
 
 def chunk_ids(spark, d):
-    return chunks(spark, d).select("point_id", text.chunk_id(F.col("rel_path"), F.col("start_line")).alias("chunk_id"))
+    return chunks(spark, d, "rel_path", "start_line").select("point_id", text.chunk_id(F.col("rel_path"), F.col("start_line")).alias("chunk_id"))
 
 
 def file_languages(spark, d):
@@ -54,7 +54,7 @@ def file_languages(spark, d):
 
 
 def file_types(spark, d):
-    return chunks(spark, d).select("point_id", F.coalesce(text.file_symbol_type(F.col("rel_path"), F.col("language")), text.known(F.col("symbol_type"), text.SYMBOL_TYPES)).alias("symbol_type"), text.known(F.col("language"), text.LANGUAGES).alias("language"))
+    return chunks(spark, d, "rel_path", "language", "symbol_type").select("point_id", F.coalesce(text.file_symbol_type(F.col("rel_path"), F.col("language")), text.known(F.col("symbol_type"), text.SYMBOL_TYPES)).alias("symbol_type"), text.known(F.col("language"), text.LANGUAGES).alias("language"))
 
 
 def ignored_files(spark, d):
@@ -69,7 +69,7 @@ def binary_files(spark, d):
 
 def truncated_chunks(spark, d):
     cut, was = text.truncated(F.col("content"), 200)
-    return chunks(spark, d).select("point_id", cut.alias("content"), was.alias("truncated"))
+    return chunks(spark, d, "content").select("point_id", cut.alias("content"), was.alias("truncated"))
 
 
 def rounded_scores(spark, d):
@@ -82,12 +82,22 @@ def dir_tree(spark, d):
     return rows.select("collection", F.explode(text.folder_prefixes(F.col("path"))).alias("folder")).where(F.col("folder").isNotNull()).distinct()
 
 
+def calling(spark, d):
+    """What relations.calls reads."""
+    return chunks(spark, d, "collection", "rel_path", "content")
+
+
+def defining(spark, d, *more):
+    """What relations.definitions reads, and ``more``."""
+    return chunks(spark, d, "collection", "rel_path", "symbol_name", *more)
+
+
 def callees(spark, d):
-    return relations.calls(chunks(spark, d)).select("point_id", "token")
+    return relations.calls(calling(spark, d)).select("point_id", "token")
 
 
 def routes(spark, d):
-    return chunks(spark, d).select("point_id", F.explode(text.route_paths(F.col("content"), F.col("rel_path"))).alias("route"))
+    return chunks(spark, d, "content", "rel_path").select("point_id", F.explode(text.route_paths(F.col("content"), F.col("rel_path"))).alias("route"))
 
 
 def urls(spark, d):
@@ -97,21 +107,22 @@ def urls(spark, d):
 
 
 def classify_refs(spark, d):
-    return chunks(spark, d).select("point_id", text.reference_type(F.col("content"), F.coalesce("symbol_name", F.lit("")), F.lit("")).alias("reference_type"), text.http_verb(F.coalesce("content", F.lit(""))).alias("verb"))
+    rows = chunks(spark, d, "content", "symbol_name", "rel_path")
+    return rows.select("point_id", text.reference_type(F.col("content"), F.coalesce("symbol_name", F.lit("")), F.col("rel_path")).alias("reference_type"), text.http_verb(F.coalesce("content", F.lit(""))).alias("verb"))
 
 
 def normal_names(spark, d):
-    return chunks(spark, d).where(F.col("symbol_name").isNotNull()).select("symbol_name", text.normal_name(F.col("symbol_name")).alias("name")).distinct()
+    return table(spark, d, "chunks").where(F.col("symbol_name").isNotNull()).select("symbol_name", text.normal_name(F.col("symbol_name")).alias("name")).distinct()
 
 
 def resolved_calls(spark, d):
-    c = chunks(spark, d)
-    return relations.resolve_calls(relations.calls(c), relations.definitions(c), relations.call_imports(c, newest_files(spark, d))).select("point_id", "token", "target")
+    imports = relations.call_imports(chunks(spark, d, "collection", "rel_path", "language", "start_line", "content"), newest_files(spark, d))
+    return relations.resolve_calls(relations.calls(calling(spark, d)), relations.definitions(defining(spark, d)), imports).select("point_id", "token", "target")
 
 
 def url_path_match(spark, d):
     """Folders of files as callers' and endpoints' paths."""
-    rows = chunks(spark, d).select("collection", F.regexp_replace("rel_path", "/[^/]*$", "").alias("path")).where(F.col("path").contains("/")).distinct()
+    rows = table(spark, d, "chunks").select("collection", F.regexp_replace("rel_path", "/[^/]*$", "").alias("path")).where(F.col("path").contains("/")).distinct()
     return relations.matching_paths(rows, rows)
 
 
@@ -128,81 +139,82 @@ def manifest_deps(spark, d):
 
 
 def shared_symbols(spark, d):
-    return relations.shared_symbols(chunks(spark, d))
+    return relations.shared_symbols(defining(spark, d))
 
 
 def symbol_locations(spark, d):
-    return relations.symbol_locations(chunks(spark, d))
+    return relations.symbol_locations(defining(spark, d, "content"))
 
 
 def find_symbols(spark, d):
-    return relations.find_symbols(chunks(spark, d), named_symbols(spark, d))
+    return relations.find_symbols(defining(spark, d, "start_line"), named_symbols(spark, d))
 
 
 def find_callers(spark, d):
-    c = chunks(spark, d)
-    return relations.find_callers(relations.calls(c), named_symbols(spark, d))
+    return relations.find_callers(relations.calls(calling(spark, d)), named_symbols(spark, d))
 
 
 def missing_symbols(spark, d):
     """Collections in which a named symbol is not defined."""
-    found = relations.find_symbols(chunks(spark, d), named_symbols(spark, d), 1).select("symbol_name", "collection")
-    names = chunks(spark, d).select("collection").distinct()
+    found = relations.find_symbols(defining(spark, d, "start_line"), named_symbols(spark, d), 1).select("symbol_name", "collection")
+    names = table(spark, d, "chunks").select("collection").distinct()
     wanted = found.select("symbol_name").distinct().crossJoin(F.broadcast(names))  # named symbols by collections, one row each
     return wanted.join(found, ["symbol_name", "collection"], "left_anti")
 
 
 def cross_references(spark, d):
-    c = chunks(spark, d)
-    return relations.cross_references(c, relations.calls(c), named_symbols(spark, d))
+    return relations.cross_references(defining(spark, d, "start_line"), relations.calls(calling(spark, d)), named_symbols(spark, d))
 
 
 def symbol_usages(spark, d):
-    return relations.usages(chunks(spark, d), named_symbols(spark, d))
+    return relations.usages(defining(spark, d, "content"), named_symbols(spark, d))
 
 
 def service_edges(spark, d):
-    c = chunks(spark, d)
-    return relations.service_edges(relations.calls(c), relations.definitions(c))
+    return relations.service_edges(relations.calls(calling(spark, d)), relations.definitions(defining(spark, d)))
 
 
 def service_adjacency(spark, d):
     return relations.adjacency(service_edges(spark, d))
 
 
+# What a chunk may be to a symbol.
+KINDS = "definition endpoint_definition http_call service_config build_dependency import usage".split()
+
+
 def service_summary(spark, d):
-    kinds = classify_refs(spark, d).join(chunks(spark, d).select("point_id", "collection"), "point_id")
-    return kinds.groupBy("collection").agg(F.count("*").alias("chunks"), *[F.count_if(F.col("reference_type") == k).alias(k) for k in ("definition", "endpoint_definition", "http_call", "import", "usage")])
+    kinds = classify_refs(spark, d).join(chunks(spark, d, "collection"), "point_id")
+    return kinds.groupBy("collection").agg(F.count("*").alias("chunks"), *[F.count_if(F.col("reference_type") == k).alias(k) for k in KINDS])
 
 
 def collection_summary(spark, d):
-    return relations.collection_summary(chunks(spark, d))
+    return relations.collection_summary(defining(spark, d, "language"))
 
 
 def files_per_language(spark, d):
-    files = chunks(spark, d).groupBy("collection", "rel_path").agg(F.min("language").alias("language"))
+    files = chunks(spark, d, "collection", "rel_path", "language").groupBy("collection", "rel_path").agg(F.min("language").alias("language"))
     return files.groupBy("collection", "language").agg(F.count("*").alias("files"))
 
 
 def chunks_per_type(spark, d):
-    return chunks(spark, d).groupBy("collection", "symbol_type").agg(F.count("*").alias("chunks"))
+    return chunks(spark, d, "collection", "symbol_type").groupBy("collection", "symbol_type").agg(F.count("*").alias("chunks"))
 
 
 def top_chunked_files(spark, d):
     from skein.operators.search import top_per
 
-    files = chunks(spark, d).groupBy("collection", "rel_path").agg(F.count("*").alias("chunks"))
+    files = chunks(spark, d, "collection", "rel_path").groupBy("collection", "rel_path").agg(F.count("*").alias("chunks"))
     return top_per(files, ["collection"], [F.desc("chunks"), F.col("rel_path")], 10)
 
 
 def file_outline(spark, d):
     """Symbols of every file in line order."""
-    rows = chunks(spark, d).select(F.struct("start_line", "point_id", F.coalesce("symbol_name", F.lit("?")).alias("name")).alias("s"), "collection", "rel_path")
+    rows = defining(spark, d, "start_line").select(F.struct("start_line", "point_id", F.coalesce("symbol_name", F.lit("?")).alias("name")).alias("s"), "collection", "rel_path")
     return rows.groupBy("collection", "rel_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["name"]), " ").alias("outline"))
 
 
 def merged_files(spark, d):
-    return relations.merged_files(chunks(spark, d)).select("collection", "rel_path", F.length("content").alias("length"), F.md5("content").alias("digest"))
+    return relations.merged_files(chunks(spark, d, "collection", "rel_path", "start_line", "content")).select("collection", "rel_path", F.length("content").alias("length"), F.md5("content").alias("digest"))
 
 
 def results_by_collection(spark, d):
@@ -211,14 +223,14 @@ def results_by_collection(spark, d):
 
 
 def list_collections(spark, d):
-    c = chunks(spark, d).groupBy("collection").agg(F.count("*").alias("points"))
+    c = chunks(spark, d, "collection").groupBy("collection").agg(F.count("*").alias("points"))
     runs = table(spark, d, "index_runs").distinct().groupBy("collection").agg(F.count("*").alias("runs"), F.max("finished_at").alias("last_finished"))
     return c.join(runs, "collection", "full")
 
 
 def find_chunk(spark, d):
     """Every chunk id with the first collection, by name, that holds it."""
-    return chunks(spark, d).groupBy("chunk_id").agg(F.min("collection").alias("collection"), F.count("*").alias("held"))
+    return chunks(spark, d, "chunk_id", "collection").groupBy("chunk_id").agg(F.min("collection").alias("collection"), F.count("*").alias("held"))
 
 
 QUERIES = {
@@ -253,7 +265,8 @@ defs AS (SELECT DISTINCT collection, rel_path, symbol_name FROM c WHERE length(s
 names AS (SELECT DISTINCT query_text AS symbol_name FROM search_queries WHERE regexp_matches(query_text, '^[A-Za-z_][A-Za-z0-9_]*$'))"""
 )
 SUFFIX_CASE = "CASE " + " ".join(f"WHEN n LIKE '%{s}' THEN left(n, length(n) - {len(s)})" for s in text.NAME_SUFFIXES) + " ELSE n END"
-KIND = rf"""CASE WHEN regexp_matches(content, '{_re2(text.CLASS_HEAD)}') AND length(coalesce(symbol_name, '')) > 0 AND regexp_matches(content, '(?:class|interface|enum|record)\s+' || symbol_name || '\b') THEN 'definition'
+CONFIGURED = f"regexp_matches(rel_path, '{_re2(text.CONFIG_FILE)}') AND (" + " OR ".join(f"regexp_matches(content, '{_re2(p)}')" for p in text.config_patterns()) + ")"
+KIND = rf"""CASE WHEN {CONFIGURED} THEN 'service_config' WHEN regexp_matches(content, '{_re2(text.CLASS_HEAD)}') AND length(coalesce(symbol_name, '')) > 0 AND regexp_matches(content, '(?:class|interface|enum|record)\s+' || symbol_name || '\b') THEN 'definition'
 WHEN regexp_matches(content, '{_re2(text.ENDPOINT)}') THEN 'endpoint_definition' WHEN regexp_matches(content, '{_re2(text.HTTP_CALL)}') THEN 'http_call' WHEN regexp_matches(content, '{_re2(text.IMPORT)}') THEN 'import' ELSE 'usage' END"""
 VERB = f"lower(regexp_extract(coalesce(content, ''), '{_re2(text.VERB)}', 0))"
 SUFFIXES = {s: language for language, ss in text.SUFFIX_LANGUAGES.items() for s in ss}
@@ -305,7 +318,7 @@ SELECT symbol_name, collection, rel_path, start_line, min_by(match_type, o) AS m
     "symbol_usages": CALLS + " SELECT DISTINCT a.symbol_name, a.collection AS defined_in, b.collection AS used_in FROM c a JOIN names USING (symbol_name) JOIN c b ON a.collection <> b.collection AND contains(b.content, a.symbol_name)",
     "service_edges": CALLS + ", h AS (SELECT symbol_name, min(collection) AS \"to\" FROM defs GROUP BY 1 HAVING count(DISTINCT collection) = 1) SELECT k.collection AS \"from\", h.\"to\", count(DISTINCT k.token) AS tokens FROM calls k JOIN h ON h.symbol_name = k.token WHERE k.collection <> h.\"to\" GROUP BY 1, 2",
     "service_adjacency": CALLS + ", h AS (SELECT symbol_name, min(collection) AS t FROM defs GROUP BY 1 HAVING count(DISTINCT collection) = 1), e AS (SELECT DISTINCT k.collection AS f, h.t FROM calls k JOIN h ON h.symbol_name = k.token WHERE k.collection <> h.t), o AS (SELECT f AS service, string_agg(t, ',' ORDER BY t) AS calls FROM e GROUP BY 1), i AS (SELECT t AS service, string_agg(f, ',' ORDER BY f) AS called_by FROM e GROUP BY 1) SELECT service, coalesce(calls, '') AS calls, coalesce(called_by, '') AS called_by FROM o FULL JOIN i USING (service)",
-    "service_summary": C + f", k AS (SELECT collection, {KIND} AS t FROM c) SELECT collection, count(*) AS chunks, " + ", ".join(f"count_if(t = '{k}')::BIGINT AS {k}" if k != "import" else "count_if(t = 'import')::BIGINT AS \"import\"" for k in ("definition", "endpoint_definition", "http_call", "import", "usage")) + " FROM k GROUP BY 1",
+    "service_summary": C + f", k AS (SELECT collection, {KIND} AS t FROM c) SELECT collection, count(*) AS chunks, " + ", ".join(f"count_if(t = '{k}')::BIGINT AS {k}" if k != "import" else "count_if(t = 'import')::BIGINT AS \"import\"" for k in KINDS) + " FROM k GROUP BY 1",
     "collection_summary": C + ", f AS (SELECT collection, rel_path, count(*) AS n, min(language) AS language FROM c GROUP BY 1, 2), s AS (SELECT collection, count(DISTINCT symbol_name) AS symbols FROM c WHERE length(symbol_name) > 0 GROUP BY 1) SELECT collection, count(*) AS files, sum(n)::BIGINT AS chunks, count(DISTINCT language) AS languages, coalesce(first(symbols), 0) AS symbols FROM f LEFT JOIN s USING (collection) GROUP BY 1",
     "files_per_language": C + ", f AS (SELECT collection, rel_path, min(language) AS language FROM c GROUP BY 1, 2) SELECT collection, language, count(*) AS files FROM f GROUP BY 1, 2",
     "chunks_per_type": C + " SELECT collection, symbol_type, count(*) AS chunks FROM c GROUP BY 1, 2",

@@ -10,15 +10,19 @@ from skein.operators import search
 from skein.session import table
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct chunks."""
-    return table(spark, d, "chunks").distinct()
+def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Distinct chunks with the columns named (point_id, the key, is always there), so that no scan or shuffle has others."""
+    return table(spark, d, "chunks").select("point_id", *columns).distinct()
 
 
 def vectors_of(spark: SparkSession, d: str) -> DataFrame:
     """Distinct chunks with their dense vectors, narrow."""
-    embedded = table(spark, d, "embedded_chunks").select("point_id", "dense_vector").distinct()
-    return table(spark, d, "chunks").select("point_id", "collection", "rel_path", "language").distinct().join(embedded, "point_id")
+    return chunks(spark, d, "collection", "rel_path", "language").join(embedded(spark, d), "point_id")
+
+
+def embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct dense vectors."""
+    return table(spark, d, "embedded_chunks").select("point_id", "dense_vector").distinct()
 
 
 def first_vector(spark: SparkSession, d: str) -> DataFrame:
@@ -26,12 +30,29 @@ def first_vector(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy("point_id").limit(1).select(F.col("dense_vector").alias("query_vector"))
 
 
+def of_chunks(spark: SparkSession, d: str, best: DataFrame, *columns: str) -> DataFrame:
+    """The few rows of a top-k with columns of their chunks: joined after the search, the k ids sent to the scan."""
+    few = table(spark, d, "chunks").select("point_id", *columns).join(F.broadcast(best.select("point_id")), "point_id", "left_semi").distinct()  # k rows
+    return few.join(best, "point_id")
+
+
+def existing(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct vectors of points that are chunks; only ids are moved for it."""
+    return embedded(spark, d).join(table(spark, d, "chunks").select("point_id"), "point_id", "left_semi")
+
+
 def dense_topk(spark, d):
-    return search.dense_topk(vectors_of(spark, d), first_vector(spark, d), 10).select("point_id", "collection", "score")
+    return of_chunks(spark, d, search.dense_topk(existing(spark, d), first_vector(spark, d), 10), "collection").select("point_id", "collection", "score")
 
 
 def dense_topk_min_score(spark, d):
-    return search.dense_topk(vectors_of(spark, d), first_vector(spark, d), 20, min_score=0.3).select("point_id", "score")
+    return search.dense_topk(existing(spark, d), first_vector(spark, d), 20, min_score=0.3).select("point_id", "score")
+
+
+def dense_search(spark, d):
+    """The ten nearest of every vector whose id is divisible by 100, among all."""
+    rows = embedded(spark, d)
+    return search.dense_topk_set(rows, rows.where("point_id % 100 = 0").withColumnRenamed("point_id", "query_id"), 10)
 
 
 def dense_topk_filtered(spark, d):
@@ -39,16 +60,16 @@ def dense_topk_filtered(spark, d):
 
 
 def token_freq(spark, d):
-    rows = chunks(spark, d).select(F.explode(text.tokens(F.col("content"))).alias("token"))
+    rows = chunks(spark, d, "content").select(F.explode(text.tokens(F.col("content"))).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("n"))
 
 
 def bm25_weights(spark, d):
-    return search.postings(chunks(spark, d), ["point_id"], "content").withColumn("weight", F.round("weight", 6))
+    return search.postings(chunks(spark, d, "content"), ["point_id"], "content").withColumn("weight", F.round("weight", 6))
 
 
 def sparse_topk(spark, d):
-    return search.sparse_topk(chunks(spark, d), table(spark, d, "search_queries"), 10)
+    return search.sparse_topk(chunks(spark, d, "content"), table(spark, d, "search_queries"), 10)
 
 
 def hybrid_rrf(spark, d):
@@ -88,7 +109,7 @@ def per_collection_topk(spark, d):
 
 def maxsim(spark, d):
     """Late interaction of the first vector's eight slices with every chunk's."""
-    rows = vectors_of(spark, d).where(vectors.usable(F.col("dense_vector"), 64)).crossJoin(F.broadcast(first_vector(spark, d)))  # one row
+    rows = existing(spark, d).where(vectors.usable(F.col("dense_vector"), 64)).crossJoin(F.broadcast(first_vector(spark, d)))  # one row
     score = vectors.max_similarity(vectors.slices(F.col("query_vector"), 8), vectors.slices(F.col("dense_vector"), 8))
     return rows.select("point_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "point_id").limit(20)
 
@@ -100,12 +121,12 @@ def centroid_by_collection(spark, d):
 
 
 def unit_vectors(spark, d):
-    rows = vectors_of(spark, d).where(vectors.usable(F.col("dense_vector"), 64))
-    return rows.select("point_id", F.round(vectors.norm(F.col("dense_vector")), 6).alias("norm"), F.round(vectors.normalized(F.col("dense_vector"))[0], 6).alias("first"))
+    rows = existing(spark, d).where(vectors.usable(F.col("dense_vector"), 64))
+    return rows.select("point_id", F.round(vectors.norm(F.col("dense_vector")), 6).alias("norm"), F.posexplode(F.transform(vectors.normalized(F.col("dense_vector")), lambda x: F.round(x, 6))).alias("position", "value"))
 
 
 def recommend_topk(spark, d):
-    return search.recommend(vectors_of(spark, d), [1, 2, 3], [4, 5], 5).select("point_id", "score")
+    return search.recommend(existing(spark, d), [1, 2, 3], [4, 5], 5).select("point_id", "score")
 
 
 def recommend_glob(spark, d):
@@ -113,11 +134,11 @@ def recommend_glob(spark, d):
 
 
 def outlier_chunks(spark, d):
-    return search.outliers(vectors_of(spark, d), [1, 2, 3, 4, 5, 6, 7, 8], 5).select("point_id", "nearest", "score")
+    return search.outliers(existing(spark, d), [1, 2, 3, 4, 5, 6, 7, 8], 5).select("point_id", "nearest", "score")
 
 
 def context_sample(spark, d):
-    return search.context_sample(chunks(spark, d), [3, 1, 2], "src/*")
+    return search.context_sample(chunks(spark, d, "chunk_id", "rel_path"), [3, 1, 2], "src/*")
 
 
 USABLE = "len(dense_vector) = 64 AND list_bool_and(list_transform(dense_vector, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(dense_vector, lambda x: x <> 0))"
@@ -163,7 +184,7 @@ TRIPLE = "list_transform(range(8), lambda i: list_slice({v}, i * 8 + 1, i * 8 +
 QUERIES = {
     f.__name__: f
     for f in (
-        dense_topk, dense_topk_min_score, dense_topk_filtered, token_freq, bm25_weights, sparse_topk, hybrid_rrf, maxsim_rerank, adaptive_rerank, rerank_counters, cross_collection_rrf,
+        dense_topk, dense_search, dense_topk_min_score, dense_topk_filtered, token_freq, bm25_weights, sparse_topk, hybrid_rrf, maxsim_rerank, adaptive_rerank, rerank_counters, cross_collection_rrf,
         fan_out_search, multihop_rrf, per_collection_topk, maxsim, centroid_by_collection, unit_vectors, recommend_topk, recommend_glob, outlier_chunks, context_sample,
     )
 }
@@ -195,7 +216,10 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused
     "per_collection_topk": BEST + "SELECT query_id, collection, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, chunk_id) AS rank FROM best WHERE scorer = 'sparse') WHERE rank <= 3",
     "maxsim": VECTORS + f", s AS (SELECT point_id, {TRIPLE.format(v='dense_vector')} AS ds, {TRIPLE.format(v='query_vector')} AS qs FROM v, q) SELECT point_id, round(list_sum(list_transform(qs, lambda a: list_max(list_transform(ds, lambda b: list_inner_product(a, b))))), 6) AS score FROM s ORDER BY score DESC, point_id LIMIT 20",
     "centroid_by_collection": VECTORS + ", x AS (SELECT collection, unnest(dense_vector) AS x, unnest(range(64)) AS position FROM v) SELECT collection, position::INT AS position, count(*) AS members, round(avg(x), 6) AS mean FROM x GROUP BY ALL",
-    "unit_vectors": VECTORS + "SELECT point_id, round(sqrt(list_inner_product(dense_vector, dense_vector)), 6) AS norm, round(dense_vector[1] / sqrt(list_inner_product(dense_vector, dense_vector)), 6) AS first FROM v",
+    "unit_vectors": VECTORS + ", x AS (SELECT point_id, sqrt(list_inner_product(dense_vector, dense_vector)) AS n, unnest(dense_vector) AS x, unnest(range(64)) AS p FROM v) SELECT point_id, round(n, 6) AS norm, p::INT AS position, round(x / n, 6) AS value FROM x",
+    "dense_search": f"""WITH e AS (SELECT DISTINCT point_id, dense_vector::DOUBLE[] AS v FROM embedded_chunks WHERE {USABLE}),
+s AS (SELECT q.point_id AS query_id, e.point_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e, e q WHERE q.point_id % 100 = 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM s) WHERE rank <= 10""",
     "recommend_topk": VECTORS + f", m AS (SELECT {MEAN.format(ids='1, 2, 3')} AS p, {MEAN.format(ids='4, 5')} AS n), w AS (SELECT list_transform(list_zip(p, n), lambda z: 2 * z[1] - z[2]) AS query_vector FROM m) SELECT point_id, {SCORE} AS score FROM v, w WHERE point_id NOT IN (1, 2, 3, 4, 5) ORDER BY score DESC, point_id LIMIT 5",
     "recommend_glob": VECTORS + f", w AS (SELECT {MEAN.format(ids='1, 2')} AS query_vector) SELECT point_id, rel_path, {SCORE} AS score FROM v, w WHERE point_id NOT IN (1, 2) AND rel_path ILIKE '%/TEST\\_%.py' ESCAPE '\\' ORDER BY score DESC, point_id LIMIT 5",
     "outlier_chunks": VECTORS + f""", x AS (SELECT dense_vector AS cv FROM v WHERE point_id BETWEEN 1 AND 8), w AS (SELECT {MEAN.format(ids='1, 2, 3, 4, 5, 6, 7, 8')} AS query_vector),

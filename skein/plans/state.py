@@ -33,19 +33,19 @@ def stale_paths(spark, d):
 
 
 def file_metadata_scan(spark, d):
-    return state.first_metadata(chunks(spark, d))
+    return state.first_metadata(chunks(spark, d, "chunk_id", "collection", "rel_path", "file_sha256"))
 
 
 def upsert_result(spark, d):
     """Python and Go chunks stored, Python and Java ones coming in anew with their symbols in lower case."""
-    c = chunks(spark, d).select("point_id", "collection", "language", "symbol_name")
+    c = chunks(spark, d, "collection", "language", "symbol_name")
     old, new = c.where(F.col("language").isin("python", "go")), c.where(F.col("language").isin("python", "java")).withColumn("symbol_name", F.lower("symbol_name"))
     return state.upsert(old, new, ["point_id"])
 
 
 def delete_result(spark, d):
     paths = stale_paths(spark, d).select("collection", F.col("path").alias("rel_path"))
-    return state.delete_paths(chunks(spark, d).select("point_id", "collection", "rel_path"), paths)
+    return state.delete_paths(chunks(spark, d, "collection", "rel_path"), paths)
 
 
 def collection_flags(spark, d):
@@ -56,10 +56,11 @@ def collection_flags(spark, d):
 
 
 def _graph(spark, d):
-    from skein.plans.relations import newest_files
+    from skein.plans.relations import calling, defining, newest_files
 
-    c = chunks(spark, d)
-    resolved = relations.resolve_calls(relations.calls(c), relations.definitions(c), relations.call_imports(c, newest_files(spark, d)))
+    c = defining(spark, d, "chunk_id")
+    imports = relations.call_imports(chunks(spark, d, "collection", "rel_path", "language", "start_line", "content"), newest_files(spark, d))
+    resolved = relations.resolve_calls(relations.calls(calling(spark, d)), relations.definitions(c), imports)
     return c, resolved, graph.edges(c, resolved)
 
 
@@ -86,7 +87,7 @@ def service_graph(spark, d):
     from skein.operators import chunking, dependencies
     from skein.plans.relations import newest_files
 
-    files, c = newest_files(spark, d), chunks(spark, d)
+    files, c = newest_files(spark, d), chunks(spark, d, "chunk_id", "collection", "rel_path", "content")
     deps = dependencies.dependencies(files.select("collection", "path", "content"))
     return graph.service_edges(c, chunking.file_imports(files), deps, c.select("collection").distinct())
 
@@ -102,23 +103,24 @@ def neighbor_keys_all(spark, d):
 
 def graph_khop_all(spark, d):
     """Two steps over all families of edges from every chunk whose id is divisible by 100."""
-    seeds = chunks(spark, d).where("point_id % 100 = 0").select(F.col("chunk_id").alias("key"))
+    seeds = chunks(spark, d, "chunk_id").where("point_id % 100 = 0").select(F.col("chunk_id").alias("key"))
     return graph.expand(_whole_graph(spark, d), seeds, 2)
 
 
 def unknown_hits(spark, d):
     """Points that were returned by a search and are no chunks."""
-    return search.missing_ids(chunks(spark, d), table(spark, d, "search_hits"))
+    return search.missing_ids(table(spark, d, "chunks").select("point_id"), table(spark, d, "search_hits"))
 
 
 def paths_of_stale_chunks(spark, d):
     """Chunks of files that the newest scan has with another content."""
     changed = delta_classify(spark, d).where("change = 'modified'").select("collection", F.col("path").alias("rel_path"))
-    return search.chunks_of_paths(chunks(spark, d), changed, None).select("collection", "rel_path", "start_line", "chunk_id")
+    return search.chunks_of_paths(chunks(spark, d, "collection", "rel_path", "start_line", "chunk_id"), changed, None).select("collection", "rel_path", "start_line", "chunk_id")
 
 
 def graph_callers(spark, d):
-    c, _, e = _graph(spark, d)
+    _, _, e = _graph(spark, d)
+    c = chunks(spark, d, "chunk_id", "collection", "rel_path", "start_line", "symbol_type")
     tokens = table(spark, d, "search_queries").select(F.col("query_text").alias("token")).distinct()
     return graph.callers(e, c, tokens)
 
@@ -166,7 +168,7 @@ def _anchors(spark, d):
 
 
 def resolved_anchors(spark, d):
-    return evaluation.resolve_anchors(_anchors(spark, d), chunks(spark, d))
+    return evaluation.resolve_anchors(_anchors(spark, d), chunks(spark, d, "chunk_id", "collection", "rel_path", "symbol_name", "start_line"))
 
 
 def drift_report(spark, d):
@@ -174,11 +176,11 @@ def drift_report(spark, d):
 
 
 def hard_negatives(spark, d):
-    return evaluation.hard_negatives(_run(spark, d, "dense"), _qrels(spark, d), chunks(spark, d).select("chunk_id", "content").distinct())
+    return evaluation.hard_negatives(_run(spark, d, "dense"), _qrels(spark, d), table(spark, d, "chunks").select("chunk_id", "content").distinct())
 
 
 def best_positive(spark, d):
-    return evaluation.best_positive(_qrels(spark, d), chunks(spark, d).select("chunk_id", "content").distinct())
+    return evaluation.best_positive(_qrels(spark, d), table(spark, d, "chunks").select("chunk_id", "content").distinct())
 
 
 def holdout_split(spark, d):
