@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +139,17 @@ def stem_udf(tokens: pd.Series) -> pd.Series:
     return tokens.map(stem, na_action="ignore")
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems_udf(tokens: pa.Array) -> pa.Array:
+    """The stems of arrays of tokens; every distinct token of a batch is stemmed once."""
+    tokens = tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens
+    sizes = tokens.value_lengths().fill_null(0).to_numpy()
+    words = tokens.flatten().dictionary_encode()
+    stems = pa.array([stem(w) for w in words.dictionary.to_pylist()], type=pa.string()).take(words.indices)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, stems, mask=tokens.is_null())
+
+
 @F.pandas_udf(T.LongType())
 def token_id_udf(tokens: pd.Series) -> pd.Series:
     return tokens.map(token_number, na_action="ignore")

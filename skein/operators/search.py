@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions import text, vectors
+from skein.functions import terms, text, vectors
 
 
 def validate(k: int, most: int = 30, collections: int | None = None) -> None:
@@ -101,8 +101,12 @@ def dense_topk_set(chunks: DataFrame, queries: DataFrame, k: int, key: str = "po
 
 
 def postings(docs: DataFrame, key: list[str], content: str, only: DataFrame | None = None) -> DataFrame:
-    """key, token, weight of every token of every document; with ``only`` (token) of these tokens, at unchanged weights."""
-    rows = docs.select(*key, text.kept_tokens(F.col(content)).alias("ts")).select(*key, F.size("ts").alias("length"), F.explode("ts").alias("token"))
+    """key, token (a stem), weight of every stem of every document; with ``only`` (token) of these stems, at unchanged weights.
+
+    Tokens are filtered, stemmed and counted, in this order; a document's length is how many it has. Other stems than ``only`` are dropped
+    in the reading task where the set is small enough to be sent there.
+    """
+    rows = docs.where(F.length(content) > 0).select(*key, terms.stems_udf(text.kept_tokens(F.col(content))).alias("ts")).select(*key, F.size("ts").alias("length"), F.explode("ts").alias("token"))
     rows = rows.join(only.select("token").distinct(), "token", "left_semi") if only is not None else rows
     return rows.groupBy(*key, "token").agg(F.count("*").alias("count"), F.first("length").alias("length")).select(*key, "token", text.term_weight(F.col("count"), F.col("length")).alias("weight"))
 

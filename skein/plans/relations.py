@@ -8,6 +8,7 @@ from skein.functions import terms, text
 from skein.operators import chunking, dependencies, relations
 from skein.operators.incremental import clean_path
 from skein.plans.search import chunks
+from skein.plans.stems import stems_of
 from skein.session import table
 
 
@@ -39,6 +40,11 @@ def import_names(spark, d):
     return chunking.file_imports(newest_files(spark, d))
 
 
+def stemmed_tokens(spark, d):
+    rows = chunks(spark, d, "content").select(F.explode(text.kept_tokens(F.col("content"))).alias("token")).distinct()
+    return rows.select("token", terms.stem_udf("token").alias("stem"))
+
+
 def token_stems(spark, d):
     rows = chunks(spark, d, "content").select(F.explode(text.kept_tokens(F.col("content"))).alias("token")).distinct()
     return rows.select("token", terms.stem_udf("token").alias("stem"), terms.token_id_udf("token").alias("token_id"))
@@ -236,7 +242,7 @@ def find_chunk(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_windows, line_facts, syntax_chunks, import_names, token_stems, chunk_ids, file_languages, file_types, ignored_files, binary_files, truncated_chunks, rounded_scores, dir_tree, callees, routes, urls,
+        chunk_windows, line_facts, syntax_chunks, import_names, stemmed_tokens, token_stems, chunk_ids, file_languages, file_types, ignored_files, binary_files, truncated_chunks, rounded_scores, dir_tree, callees, routes, urls,
         classify_refs, normal_names, resolved_calls, url_path_match, dep_name_match, manifest_deps, shared_symbols, symbol_locations, find_symbols, find_callers, missing_symbols, cross_references,
         symbol_usages, service_edges, service_adjacency, service_summary, collection_summary, files_per_language, chunks_per_type, top_chunked_files, file_outline, merged_files, results_by_collection,
         list_collections, find_chunk,
@@ -283,6 +289,7 @@ SQL = {
 w AS (SELECT *, unnest(range(0, greatest(0, ceil((len(lines) - size) / (size - overlap)))::BIGINT + 1)) * (size - overlap) AS start FROM l)
 SELECT collection, path, language, (start + 1)::INT AS start_line, least(start + size, len(lines))::INT AS end_line, array_to_string(list_slice(lines, start + 1, start + size), chr(10)) AS content, sha256(path || ':' || (start + 1)::INT::VARCHAR) AS chunk_id FROM w""",
     "line_facts": r"SELECT record_id, len(string_split(content, chr(10)))::INT AS lines, list_max(list_transform(string_split(content, chr(10)), lambda x: length(regexp_replace(x, '\r$', ''))))::INT AS longest, contains(content, chr(13) || chr(10)) AS returns FROM (SELECT DISTINCT record_id, content FROM file_records)",
+    "stemmed_tokens": "WITH ws AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{Nd}_$]+'), lambda t: length(t) <= 40)) AS word FROM chunks),\n" + stems_of("ws") + "\nSELECT word AS token, stem FROM stems",
     "chunk_ids": C + " SELECT point_id, sha256(rel_path || ':' || start_line) AS chunk_id FROM c",
     "file_languages": f"WITH p AS (SELECT DISTINCT collection, {CLEAN} AS path FROM file_records), x AS (SELECT *, list_last(string_split(path, '/')) AS name FROM p), y AS (SELECT *, regexp_extract(lower(name), '^[^.]*(\\..*)$', 1) AS first, regexp_extract(lower(name), '(\\.[^.]*)$', 1) AS last, string_split(path, '/') AS parts FROM x) SELECT collection, path, {LANGUAGE_OF} AS language, list_has_any(list_slice(parts, 1, len(parts) - 1), [{', '.join(chr(39) + e + chr(39) for e in text.EXCLUDED)}]) OR len(list_filter(list_slice(parts, 1, len(parts) - 1), lambda q: starts_with(q, '.venv'))) > 0 OR (regexp_matches(path, '(^|/)\\.github/') AND NOT regexp_matches(path, '(^|/)\\.github/workflows/')) AS excluded FROM y",
     "file_types": C + f", n AS (SELECT *, lower(replace(rel_path, '\\', '/')) AS norm FROM c), m AS (SELECT *, list_last(string_split(norm, '/')) AS name FROM n) SELECT point_id, CASE WHEN name IN {IN([m.lower() for m in text.MANIFESTS])} THEN 'manifest' WHEN name IN ('.env', '.env.example', '.env.local') OR regexp_matches(norm, '\\.(?:properties|ini|cfg|toml)$') THEN 'config' WHEN language = 'yaml' AND (contains(norm, '.github/workflows/') OR contains(norm, 'templates/')) THEN 'ops' WHEN language = 'yaml' THEN 'config' WHEN symbol_type IN {IN(text.SYMBOL_TYPES)} THEN symbol_type ELSE 'other' END AS symbol_type, CASE WHEN language IN {IN(text.LANGUAGES)} THEN language ELSE 'unknown' END AS language FROM m",

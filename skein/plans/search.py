@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text, vectors
 from skein.operators import search
+from skein.plans.stems import stems_of
 from skein.session import table
 
 
@@ -175,8 +176,13 @@ crossed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id OR
 """
 TOKENS = r"regexp_extract_all(lower(content), '[\p{L}\p{Nd}_$]+')"
 POSTINGS = r"""
-WITH d AS (SELECT DISTINCT * FROM chunks), dt AS (SELECT point_id, list_filter(regexp_extract_all(lower(content), '[\p{L}\p{Nd}_$]+'), lambda t: length(t) <= 40) AS ts FROM d),
-dx AS (SELECT point_id, len(ts) AS len, unnest(ts) AS token FROM dt),
+WITH dt AS (SELECT point_id, list_filter(regexp_extract_all(lower(content), '[\p{L}\p{Nd}_$]+'), lambda t: length(t) <= 40) AS ts FROM (SELECT DISTINCT point_id, content FROM chunks)),
+dw AS (SELECT point_id, len(ts) AS len, unnest(ts) AS word FROM dt),
+qt AS (SELECT query_id, list_filter(regexp_extract_all(lower(query_text), '[\p{L}\p{Nd}_$]+'), lambda t: length(t) <= 40) AS ts FROM search_queries),
+qw AS (SELECT query_id, len(ts) AS len, unnest(ts) AS word FROM qt),
+ws AS (SELECT word FROM dw UNION SELECT word FROM qw),
+""" + stems_of("ws") + """,
+dx AS (SELECT point_id, len, stem AS token FROM dw JOIN stems USING (word)),
 dp AS (SELECT point_id, token, count(*) * 2.2 / (count(*) + 1.2 * (0.25 + 0.75 * first(len) / 256.0)) AS weight FROM dx GROUP BY point_id, token)
 """
 TRIPLE = "list_transform(range(8), lambda i: list_slice({v}, i * 8 + 1, i * 8 + 8))"
@@ -196,8 +202,7 @@ SQL = {
     "token_freq": f"SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS token FROM (SELECT DISTINCT * FROM chunks)) GROUP BY token",
     "bm25_weights": POSTINGS + "SELECT point_id, token, round(weight, 6) AS weight FROM dp",
     "sparse_topk": POSTINGS + r""",
-qt AS (SELECT query_id, list_filter(regexp_extract_all(lower(query_text), '[\p{L}\p{Nd}_$]+'), lambda t: length(t) <= 40) AS ts FROM search_queries),
-qx AS (SELECT query_id, len(ts) AS len, unnest(ts) AS token FROM qt),
+qx AS (SELECT query_id, len, stem AS token FROM qw JOIN stems USING (word)),
 qp AS (SELECT query_id, token, count(*) * 2.2 / (count(*) + 1.2 * (0.25 + 0.75 * first(len) / 256.0)) AS query_weight FROM qx GROUP BY query_id, token),
 s AS (SELECT query_id, point_id, round(sum(weight * query_weight), 6) AS score FROM dp JOIN qp USING (token) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM s) WHERE rank <= 10""",
