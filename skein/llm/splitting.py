@@ -33,6 +33,18 @@ def _count(text: Column, what: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
 
 
+def running_sums(counts: Column, block: int = 256) -> Column:
+    """For every entry of an array of int the sum of those before it: within blocks of entries, shifted by the sums of earlier blocks, so that long arrays do not cost their square."""
+
+    def sums(values: Column, start: Column) -> Column:
+        empty = F.struct(F.array().cast("array<int>").alias("at"), start.alias("n"))
+        return F.aggregate(values, empty, lambda a, x: F.struct(F.concat(a["at"], F.array(a["n"])).alias("at"), (a["n"] + x).alias("n")))["at"]
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(counts) - 1) / block).cast("int")), lambda b: F.slice(counts, b * block + 1, block))
+    starts = sums(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x)), F.lit(0))
+    return F.flatten(F.zip_with(parts, starts, lambda p, s: sums(p, s)))
+
+
 def split_oversized(chunks: DataFrame, limit: int = 2400, overlap_lines: int = 3, core: int | None = None) -> DataFrame:
     """The consecutive pieces of every chunk: point_id, piece (from 1), pieces, start_line, end_line, symbol_name, content, lead.
 
@@ -58,10 +70,7 @@ def split_oversized(chunks: DataFrame, limit: int = 2400, overlap_lines: int = 3
 
     cores = large.withColumn("cores", F.regexp_extract_all("content", F.lit(boundary_pattern(core)), F.lit(0)))
     lines = F.transform("cores", lambda x: _count(x, "\n"))
-    before = F.aggregate(
-        lines, F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n")),
-        lambda a, x: F.struct(F.concat(a["at"], F.array(a["n"])).alias("at"), (a["n"] + x).alias("n")),
-    )["at"]
+    before = running_sums(lines)
     tails = [F.lit("")]
     whole = F.col("cores")
     cut = cores.select("point_id", "start_line", "symbol_name", F.size("cores").alias("pieces"), whole.alias("cores"), before.alias("before"))

@@ -96,6 +96,13 @@ def test_hot_query_is_ranked_whole(spark):
     assert all(r.median_rank == 1 + 5 * (999 - r.point_id % 1000) for r in got)
 
 
+def test_running_sums(spark):
+    for n in (1, 255, 256, 257, 1000):
+        values = [i % 7 for i in range(n)]
+        got = spark.createDataFrame([(values,)], "v array<int>").select(splitting.running_sums(F.col("v")).alias("s")).first().s
+        assert got == [sum(values[:i]) for i in range(n)]
+
+
 def test_leading_points(spark):
     data = [(1, s, "a", p, float(10 - p), 0, 0) for s in ("dense", "sparse") for p in range(6)] + [(1, "dense", "b", 50, 1.0, 0, 0), (2, "dense", "a", 1, 5.0, 0, 0), (2, "sparse", "a", 2, 5.0, 0, 0)]
     got = ranking.leading_everywhere(ranking.median_rank(spark.createDataFrame(data, HITS)))
