@@ -18,7 +18,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import usable
@@ -28,7 +28,7 @@ from skein.session import cut, parts
 #: Equal vectors are gathered by this many salts first; those with more than HOT copies are also joined by them.
 SALTS, HOT = 256, 4096
 #: Lists in a group.
-TOGETHER = 24
+TOGETHER = 12
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -158,6 +158,13 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def dealt(spark: SparkSession, groups: int, partitions: int) -> np.ndarray:
+    """A number for each group by which a shuffle deals the groups out evenly: hashes of few keys would leave some tasks without one and give others several."""
+    ids = spark.range(0, 16 * (groups + partitions) + 64, 1, 1).select(F.col("id").cast("int").alias("id")).select("id", F.pmod(F.hash("id"), F.lit(partitions)).alias("at")).toPandas()
+    by_task = [ids.id[ids["at"] == n].tolist() for n in range(partitions)]
+    return np.array([by_task[g % partitions][g // partitions] for g in range(groups)], dtype=np.int32)
+
+
 def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int, keep: int) -> tuple[DataFrame, DataFrame]:
     """(entries, members): an entry (rep, h1, h2, ids, copies, vector) per distinct usable vector, and all ids as (h1, h2, salt, ids).
 
@@ -197,9 +204,11 @@ def nearest_vectors(
     part = min(1.0, 1.1 * wanted / max(n, 1))
     picked = entries.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("vector").limit(wanted).toArrow()
     sample = _matrix(picked.column(0), dim) if picked.num_rows else np.ones((1, dim), np.float32)
+    tasks = parts(entries)
     probes = probes or max(6, round(8 * (lists / 243) ** 0.2))
     replicas = replicas or -(-probes // 2)
     index, reach = ListIndex.fit(sample, lists), Reach(replicate_ratio, replicas, probe_ratio, probes)
+    number = dealt(vectors.sparkSession, int(index.group.max()) + 1, tasks)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +223,7 @@ def nearest_vectors(
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array((ids * 2 + held).astype(np.int32)))
             at = pa.array(row[first])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(together[first]), lists, batch.column("rep").take(at), batch.column("ids").take(at), batch.column("vector").take(at)], names=["group", "lists", "rep", "ids", "vector"]
+                [pa.array(number[together[first]]), lists, batch.column("rep").take(at), batch.column("ids").take(at), batch.column("vector").take(at)], names=["group", "lists", "rep", "ids", "vector"]
             )
 
     placed = entries.select("rep", "ids", "vector").mapInArrow(place, "group int, lists array<int>, rep bigint, ids array<bigint>, vector array<float>")
@@ -275,7 +284,7 @@ def nearest_vectors(
         empty = np.zeros(0)
         return pa.table({"rep": pa.array(np.concatenate([*out_q, empty]).astype(np.int64)), "near": pa.array(np.concatenate([*out_id, empty]).astype(np.int64)), "sim": pa.array(np.concatenate([*out_sim, empty]))})
 
-    found = placed.repartition(parts(entries), "group").groupBy("group").applyInArrow(look, "rep bigint, near bigint, sim double")
+    found = placed.repartition(tasks, "group").groupBy("group").applyInArrow(look, "rep bigint, near bigint, sim double")
     # at most probes * probes * (k + 1) candidates an entry
     best = found.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("less"), "near"))), 1, k + 1).alias("best"))
 
