@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import terms, text
-from skein.operators import chunking, dependencies, relations
+from skein.operators import chunking, dependencies, graph, references, relations
 from skein.operators.incremental import clean_path
+from skein.operators.search import top_per
 from skein.plans.search import chunks
 from skein.plans.stems import stems_of
 from skein.session import table
@@ -172,6 +173,56 @@ def cross_references(spark, d):
     return relations.cross_references(defining(spark, d, "start_line"), relations.calls(calling(spark, d)), named_symbols(spark, d))
 
 
+def _searched(spark, d, scorer):
+    """The first ten hits of a scorer for every query that is a symbol's name, of a score of 0.3 or more."""
+    hits = table(spark, d, "search_hits").where((F.col("scorer") == scorer) & (F.col("score") >= 0.3) & ~F.isnan("score")).select("query_id", "point_id", "score").join(_named_queries(spark, d), "query_id")
+    best = hits.groupBy("symbol_name", "point_id").agg(F.max("score").alias("score"))
+    return top_per(best, ["symbol_name"], [F.desc("score"), F.col("point_id")], 10).select("symbol_name", "point_id", "score")
+
+
+def _named_queries(spark, d):
+    """query_id, symbol_name of the queries that are a name; narrow, and as many as people ask."""
+    return table(spark, d, "search_queries").where(F.col("query_text").rlike("^[A-Za-z_][A-Za-z0-9_]*$")).select("query_id", F.col("query_text").alias("symbol_name")).distinct()
+
+
+def _references(spark, d):
+    """Merged references of the named symbols with their chunks: dense hits, definitions, sparse hits, and call sites."""
+    c = defining(spark, d, "start_line", "content")
+    names = named_symbols(spark, d)
+    exact = relations.find_symbols(c, names, 10).select("symbol_name", "point_id", F.lit(1.0).alias("score"))
+    called = relations.find_callers(relations.calls(calling(spark, d)), names).select(F.col("token").alias("symbol_name"), "point_id", F.lit(1.0).alias("score"))
+    rows = None
+    for kind, part in zip(references.MATCH_TYPES, (_searched(spark, d, "dense"), exact, _searched(spark, d, "sparse"), called)):
+        part = part.withColumn("match_type", F.lit(kind))
+        rows = part if rows is None else rows.unionByName(part)
+    place = c.select("point_id", "collection", "rel_path", "start_line", "content", F.col("symbol_name").alias("own_symbol"))
+    rows = rows.join(place, "point_id").withColumn("reference_type", text.reference_type(F.col("content"), F.col("symbol_name"), F.col("rel_path")))
+    kept = rows.groupBy("symbol_name", "collection", "rel_path", "start_line").agg(F.max(F.struct("point_id", "content", "own_symbol")).alias("c"))
+    out = references.merged(rows)
+    same = [out[k].eqNullSafe(kept[k]) for k in ("symbol_name", "collection", "rel_path", "start_line")]
+    return out.join(kept, same[0] & same[1] & same[2] & same[3]).select(*[out[k] for k in out.columns], "c.content", "c.own_symbol")
+
+
+def merged_references(spark, d):
+    return _references(spark, d).drop("content", "own_symbol").withColumn("score", F.round("score", 6))
+
+
+def reference_links(spark, d):
+    return references.links(_references(spark, d)).withColumn("paths", F.array_join("paths", ","))
+
+
+def routed_callers(spark, d):
+    """Callers of the named symbols: by the graph's edges in collections with a completed run, by call lists in the others."""
+    from skein.plans.state import _graph
+
+    names = named_symbols(spark, d).select(F.col("symbol_name").alias("token"))
+    c = chunks(spark, d, "chunk_id", "collection", "rel_path", "start_line", "symbol_type")
+    by_graph = graph.callers(_graph(spark, d)[2], c, names).select("token", "collection", "rel_path", "chunk_id", F.lit("graph").alias("by"))
+    by_calls = relations.find_callers(relations.calls(calling(spark, d)), named_symbols(spark, d)).join(c.select("point_id", "chunk_id"), "point_id")
+    flags = table(spark, d, "index_runs").groupBy("collection").agg(F.bool_or(F.col("status") == "completed").alias("graph_call_sites"))
+    return references.routed_callers(by_graph, by_calls.select("token", "collection", "rel_path", "chunk_id", F.lit("calls").alias("by")), flags)
+
+
 def symbol_usages(spark, d):
     return relations.usages(defining(spark, d, "content"), named_symbols(spark, d))
 
@@ -207,8 +258,6 @@ def chunks_per_type(spark, d):
 
 
 def top_chunked_files(spark, d):
-    from skein.operators.search import top_per
-
     files = chunks(spark, d, "collection", "rel_path").groupBy("collection", "rel_path").agg(F.count("*").alias("chunks"))
     return top_per(files, ["collection"], [F.desc("chunks"), F.col("rel_path")], 10)
 
@@ -243,7 +292,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_windows, line_facts, syntax_chunks, import_names, stemmed_tokens, token_stems, chunk_ids, file_languages, file_types, ignored_files, binary_files, truncated_chunks, rounded_scores, dir_tree, callees, routes, urls,
-        classify_refs, normal_names, resolved_calls, url_path_match, dep_name_match, manifest_deps, shared_symbols, symbol_locations, find_symbols, find_callers, missing_symbols, cross_references,
+        classify_refs, normal_names, resolved_calls, url_path_match, dep_name_match, manifest_deps, shared_symbols, symbol_locations, find_symbols, find_callers, missing_symbols, cross_references, merged_references, reference_links, routed_callers,
         symbol_usages, service_edges, service_adjacency, service_summary, collection_summary, files_per_language, chunks_per_type, top_chunked_files, file_outline, merged_files, results_by_collection,
         list_collections, find_chunk,
     )
@@ -274,6 +323,19 @@ SUFFIX_CASE = "CASE " + " ".join(f"WHEN n LIKE '%{s}' THEN left(n, length(n) - {
 CONFIGURED = f"regexp_matches(rel_path, '{_re2(text.CONFIG_FILE)}') AND (" + " OR ".join(f"regexp_matches(content, '{_re2(p)}')" for p in text.config_patterns()) + ")"
 KIND = rf"""CASE WHEN {CONFIGURED} THEN 'service_config' WHEN regexp_matches(content, '{_re2(text.CLASS_HEAD)}') AND length(coalesce(symbol_name, '')) > 0 AND regexp_matches(content, '(?:class|interface|enum|record)\s+' || symbol_name || '\b') THEN 'definition'
 WHEN regexp_matches(content, '{_re2(text.ENDPOINT)}') THEN 'endpoint_definition' WHEN regexp_matches(content, '{_re2(text.HTTP_CALL)}') THEN 'http_call' WHEN regexp_matches(content, '{_re2(text.IMPORT)}') THEN 'import' ELSE 'usage' END"""
+# the kind of a chunk to the symbol that is looked up, not to the one it defines
+KIND_OF = KIND.replace("coalesce(symbol_name, '')", "lookup").replace("|| symbol_name ||", "|| lookup ||")
+REFERENCES = CALLS + f""", qn AS (SELECT DISTINCT query_id, query_text AS lookup FROM search_queries WHERE regexp_matches(query_text, '^[A-Za-z_][A-Za-z0-9_]*$')),
+hit AS (SELECT scorer, lookup, point_id, max(score) AS score FROM search_hits JOIN qn USING (query_id) WHERE score >= 0.3 AND NOT isnan(score) GROUP BY ALL),
+m AS (
+  SELECT lookup, point_id, score, CASE scorer WHEN 'dense' THEN 1 ELSE 3 END AS o FROM (SELECT *, row_number() OVER (PARTITION BY scorer, lookup ORDER BY score DESC, point_id) AS n FROM hit WHERE scorer IN ('dense', 'sparse')) WHERE n <= 10
+  UNION ALL SELECT symbol_name, point_id, 1.0, 2 FROM (SELECT *, row_number() OVER (PARTITION BY symbol_name, collection ORDER BY rel_path, start_line, point_id) AS n FROM c SEMI JOIN names USING (symbol_name)) WHERE n <= 10
+  UNION ALL SELECT token, point_id, 1.0, 4 FROM (SELECT *, row_number() OVER (PARTITION BY token, collection ORDER BY rel_path, point_id) AS n FROM calls WHERE token IN (SELECT symbol_name FROM names)) WHERE n <= 10),
+x AS (SELECT *, {KIND_OF} AS t FROM (SELECT m.lookup, m.score, m.o, c.* FROM m JOIN c USING (point_id))),
+merged AS (SELECT lookup AS symbol_name, collection, rel_path, start_line, CASE WHEN max(o) = 4 THEN 'call_site' ELSE ['semantic', 'exact_symbol', 'import_search'][min(o)] END AS match_type,
+  CASE WHEN max(o) = 4 THEN 1.0 ELSE -min_by(-score, (o, -score, t)) END AS score, CASE WHEN max(o) = 4 THEN 'call_site' ELSE min_by(t, (o, -score, t)) END AS reference_type, max_by(content, (point_id, content)) AS content, max_by(symbol_name, (point_id, content)) AS own_symbol
+  FROM x GROUP BY 1, 2, 3, 4)
+"""
 VERB = f"lower(regexp_extract(coalesce(content, ''), '{_re2(text.VERB)}', 0))"
 SUFFIXES = {s: language for language, ss in text.SUFFIX_LANGUAGES.items() for s in ss}
 LANGUAGE_OF = (
@@ -322,6 +384,15 @@ SELECT artifact, collection, min(CASE WHEN a = c OR g = c THEN 'exact' ELSE 'fuz
 SELECT symbol_name, collection, rel_path, start_line, 'exact_symbol' AS match_type, 0.9::DOUBLE AS score, 1 AS o FROM c SEMI JOIN names USING (symbol_name)
 UNION ALL SELECT k.token, k.collection, k.rel_path, c.start_line, 'call_site', 1.0::DOUBLE, 0 FROM calls k JOIN c USING (point_id) WHERE k.token IN (SELECT symbol_name FROM names))
 SELECT symbol_name, collection, rel_path, start_line, min_by(match_type, o) AS match_type, min_by(score, o) AS score FROM x GROUP BY 1, 2, 3, 4""",
+    "merged_references": REFERENCES + "SELECT symbol_name, collection, rel_path, start_line, match_type, round(score, 6) AS score, reference_type FROM merged",
+    "reference_links": REFERENCES + """, d AS (SELECT DISTINCT symbol_name, collection, rel_path, coalesce(own_symbol, '') AS own FROM merged WHERE reference_type = 'definition'),
+l AS (SELECT DISTINCT s.symbol_name, s.collection AS from_collection, s.rel_path AS from_path, d.collection AS to_collection, d.rel_path AS to_path FROM merged s JOIN d USING (symbol_name) WHERE s.reference_type = 'call_site' AND (own = '' OR own = symbol_name)
+UNION SELECT s.symbol_name, s.collection, s.rel_path, d.collection, d.rel_path FROM merged s JOIN d USING (symbol_name) WHERE s.reference_type IN ('usage', 'import') AND s.collection <> d.collection AND (own = '' OR contains(s.content, own)))
+SELECT *, 'code_dependency' AS kind, '' AS paths FROM l""",
+    "routed_callers": CALLS + """, flags AS (SELECT collection, bool_or(status = 'completed') AS f FROM index_runs GROUP BY 1), k AS (SELECT token, collection, rel_path, point_id, chunk_id, start_line FROM (SELECT DISTINCT token, collection, rel_path, point_id FROM calls WHERE token IN (SELECT symbol_name FROM names)) JOIN (SELECT DISTINCT point_id, chunk_id, start_line FROM chunks) USING (point_id)),
+g AS (SELECT token, collection, rel_path, chunk_id, row_number() OVER (PARTITION BY token, collection ORDER BY rel_path, start_line, chunk_id) AS n FROM (SELECT DISTINCT token, collection, rel_path, chunk_id, start_line FROM k)),
+a AS (SELECT token, collection, rel_path, chunk_id, row_number() OVER (PARTITION BY token, collection ORDER BY rel_path, point_id) AS n FROM k)
+SELECT token, collection, rel_path, chunk_id, 'graph' AS "by" FROM g WHERE n <= 10 AND collection IN (SELECT collection FROM flags WHERE f) UNION ALL SELECT token, collection, rel_path, chunk_id, 'calls' FROM a WHERE n <= 10 AND collection NOT IN (SELECT collection FROM flags WHERE f)""",
     "symbol_usages": CALLS + " SELECT DISTINCT a.symbol_name, a.collection AS defined_in, b.collection AS used_in FROM c a JOIN names USING (symbol_name) JOIN c b ON a.collection <> b.collection AND contains(b.content, a.symbol_name)",
     "service_edges": CALLS + ", h AS (SELECT symbol_name, min(collection) AS \"to\" FROM defs GROUP BY 1 HAVING count(DISTINCT collection) = 1) SELECT k.collection AS \"from\", h.\"to\", count(DISTINCT k.token) AS tokens FROM calls k JOIN h ON h.symbol_name = k.token WHERE k.collection <> h.\"to\" GROUP BY 1, 2",
     "service_adjacency": CALLS + ", h AS (SELECT symbol_name, min(collection) AS t FROM defs GROUP BY 1 HAVING count(DISTINCT collection) = 1), e AS (SELECT DISTINCT k.collection AS f, h.t FROM calls k JOIN h ON h.symbol_name = k.token WHERE k.collection <> h.t), o AS (SELECT f AS service, string_agg(t, ',' ORDER BY t) AS calls FROM e GROUP BY 1), i AS (SELECT t AS service, string_agg(f, ',' ORDER BY f) AS called_by FROM e GROUP BY 1) SELECT service, coalesce(calls, '') AS calls, coalesce(called_by, '') AS called_by FROM o FULL JOIN i USING (service)",
