@@ -263,6 +263,18 @@ def chunk_id(path: Column, line: Column) -> Column:
     return F.sha2(F.concat_ws(":", path, line.cast("string")), 256)
 
 
+#: The name space of points: that of addresses.
+POINT_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def name_uuid(name: Column, space: str = POINT_SPACE) -> Column:
+    """The name-based UUID (version 5) of a name, as text."""
+    h = F.sha1(F.concat(F.unhex(F.lit(space)), F.encode(name, "UTF-8")))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.lower(F.hex(F.conv(part(17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
 def truncated(content: Column, most: int) -> tuple[Column, Column]:
     """The content cut to ``most`` characters, and whether it was cut."""
     return F.left(content, F.lit(most)), F.length(content) > most

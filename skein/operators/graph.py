@@ -48,6 +48,22 @@ def edges(chunks: DataFrame, resolved: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+# What a node is known by, the first that it has; and what is kept of it.
+KEY_FIELDS = ["chunk_id", "qualified_name", "path", "rel_path", "name", "key"]
+PROPERTIES = ["chunk_id", "qualified_name", "name", "kind", "rel_path", "path", "method", "language", "start_line", "end_line", "collection"]
+
+
+def node_properties(rows: DataFrame) -> DataFrame:
+    """key, properties map<string,string> of ``rows`` with any of the fields as columns: the key is the first that is neither null nor empty; nulls are no properties.
+
+    Rows without a key are no nodes; other columns are ignored.
+    """
+    value = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
+    key = F.coalesce(*[F.nullif(value(c), F.lit("")) for c in KEY_FIELDS])
+    kept = F.map_filter(F.create_map(*[x for c in PROPERTIES for x in (F.lit(c), value(c))]), lambda _, v: v.isNotNull())
+    return rows.select(key.alias("key"), kept.alias("properties")).where(F.col("key").isNotNull())
+
+
 def endpoints(chunks: DataFrame) -> DataFrame:
     """path, method of every route that a chunk declares; of several methods of a path the greatest that is not empty."""
     rows = chunks.select(F.explode(text.route_paths(F.col("content"), F.col("rel_path"))).alias("path"), text.http_verb(F.col("content")).alias("method"))
@@ -103,16 +119,19 @@ def neighbor_keys(graph_edges: DataFrame) -> DataFrame:
 def expand(graph_edges: DataFrame, seeds: DataFrame, hops: int, most: int | None = None, hubs: bool = False, types: tuple[str, ...] | None = None) -> DataFrame:
     """key, hop of what is within ``hops`` undirected steps of the seeds (key); the seeds are hop 0.
 
-    Each step joins the frontier with the edges and keeps what is new; edges and frontiers are written once, so that plans stay flat. Walks
+    Each step takes the edges at its frontier, in both directions, and keeps what is new; only frontiers are written, edges
+    are read where they are. Walks
     take edges of any type, or of ``types``, and do not pass collections unless ``hubs``. With ``most`` the first by hop and key are kept, after ordering.
     """
     rows = graph_edges if types is None else graph_edges.where(F.col("type").isin(*types))
-    rows = (rows if hubs else rows.where(~F.col("type").isin(*HUB_TYPES))).select("src", "dst").distinct()
-    both = cut(rows.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*").distinct())
+    rows = (rows if hubs else rows.where(~F.col("type").isin(*HUB_TYPES))).select("src", "dst")
+    rows = cut(rows.distinct()) if hops > 1 else rows  # every step reads the edges once more
     reached = seeds.select("key").distinct().withColumn("hop", F.lit(0))
     frontier = reached
     for hop in range(1, hops + 1):
-        step = frontier.select(F.col("key").alias("src")).join(both, "src").select(F.col("dst").alias("key")).distinct()
+        out = rows.join(frontier.select(F.col("key").alias("src")), "src", "left_semi").select(F.col("dst").alias("key"))
+        into = rows.join(frontier.select(F.col("key").alias("dst")), "dst", "left_semi").select(F.col("src").alias("key"))
+        step = out.union(into).distinct()
         frontier = cut(step.join(reached, "key", "left_anti").withColumn("hop", F.lit(hop)))
         reached = reached.unionByName(frontier)
     return reached.orderBy("hop", "key").limit(most) if most else reached

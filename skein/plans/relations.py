@@ -37,6 +37,11 @@ def syntax_chunks(spark, d):
     return chunking.syntax_chunks(newest_files(spark, d))
 
 
+def file_chunks(spark, d):
+    """Every file in chunks: definitions below the imports they use, else windows."""
+    return chunking.chunk_files(newest_files(spark, d))
+
+
 def import_names(spark, d):
     return chunking.file_imports(newest_files(spark, d))
 
@@ -55,6 +60,10 @@ def chunk_ids(spark, d):
     return chunks(spark, d, "rel_path", "start_line").select("point_id", text.chunk_id(F.col("rel_path"), F.col("start_line")).alias("chunk_id"))
 
 
+def point_uuids(spark, d):
+    return chunks(spark, d, "rel_path", "start_line").select("point_id", text.name_uuid(F.concat_ws(":", "rel_path", F.col("start_line").cast("string"))).alias("uuid"))
+
+
 def file_languages(spark, d):
     rows = table(spark, d, "file_records").select("collection", clean_path(F.col("rel_path")).alias("path")).distinct()
     return rows.select("collection", "path", text.language_of(F.col("path")).alias("language"), text.excluded(F.col("path")).alias("excluded"))
@@ -291,7 +300,7 @@ def find_chunk(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_windows, line_facts, syntax_chunks, import_names, stemmed_tokens, token_stems, chunk_ids, file_languages, file_types, ignored_files, binary_files, truncated_chunks, rounded_scores, dir_tree, callees, routes, urls,
+        chunk_windows, line_facts, syntax_chunks, file_chunks, import_names, stemmed_tokens, token_stems, chunk_ids, point_uuids, file_languages, file_types, ignored_files, binary_files, truncated_chunks, rounded_scores, dir_tree, callees, routes, urls,
         classify_refs, normal_names, resolved_calls, url_path_match, dep_name_match, manifest_deps, shared_symbols, symbol_locations, find_symbols, find_callers, missing_symbols, cross_references, merged_references, reference_links, routed_callers,
         symbol_usages, service_edges, service_adjacency, service_summary, collection_summary, files_per_language, chunks_per_type, top_chunked_files, file_outline, merged_files, results_by_collection,
         list_collections, find_chunk,
@@ -353,6 +362,7 @@ SELECT collection, path, language, (start + 1)::INT AS start_line, least(start +
     "line_facts": r"SELECT record_id, len(string_split(content, chr(10)))::INT AS lines, list_max(list_transform(string_split(content, chr(10)), lambda x: length(regexp_replace(x, '\r$', ''))))::INT AS longest, contains(content, chr(13) || chr(10)) AS returns FROM (SELECT DISTINCT record_id, content FROM file_records)",
     "stemmed_tokens": "WITH ws AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{Nd}_$]+'), lambda t: length(t) <= 40)) AS word FROM chunks),\n" + stems_of("ws") + "\nSELECT word AS token, stem FROM stems",
     "chunk_ids": C + " SELECT point_id, sha256(rel_path || ':' || start_line) AS chunk_id FROM c",
+    "point_uuids": C + f", u AS (SELECT point_id, sha1(unhex('{text.POINT_SPACE}') || encode(rel_path || ':' || start_line)) AS h FROM c) SELECT point_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][(position(h[17] IN '0123456789abcdef') - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS uuid FROM u",
     "file_languages": f"WITH p AS (SELECT DISTINCT collection, {CLEAN} AS path FROM file_records), x AS (SELECT *, list_last(string_split(path, '/')) AS name FROM p), y AS (SELECT *, regexp_extract(lower(name), '^[^.]*(\\..*)$', 1) AS first, regexp_extract(lower(name), '(\\.[^.]*)$', 1) AS last, string_split(path, '/') AS parts FROM x) SELECT collection, path, {LANGUAGE_OF} AS language, list_has_any(list_slice(parts, 1, len(parts) - 1), [{', '.join(chr(39) + e + chr(39) for e in text.EXCLUDED)}]) OR len(list_filter(list_slice(parts, 1, len(parts) - 1), lambda q: starts_with(q, '.venv'))) > 0 OR (regexp_matches(path, '(^|/)\\.github/') AND NOT regexp_matches(path, '(^|/)\\.github/workflows/')) AS excluded FROM y",
     "file_types": C + f", n AS (SELECT *, lower(replace(rel_path, '\\', '/')) AS norm FROM c), m AS (SELECT *, list_last(string_split(norm, '/')) AS name FROM n) SELECT point_id, CASE WHEN name IN {IN([m.lower() for m in text.MANIFESTS])} THEN 'manifest' WHEN name IN ('.env', '.env.example', '.env.local') OR regexp_matches(norm, '\\.(?:properties|ini|cfg|toml)$') THEN 'config' WHEN language = 'yaml' AND (contains(norm, '.github/workflows/') OR contains(norm, 'templates/')) THEN 'ops' WHEN language = 'yaml' THEN 'config' WHEN symbol_type IN {IN(text.SYMBOL_TYPES)} THEN symbol_type ELSE 'other' END AS symbol_type, CASE WHEN language IN {IN(text.LANGUAGES)} THEN language ELSE 'unknown' END AS language FROM m",
     "ignored_files": f"SELECT * FROM (SELECT DISTINCT collection, {CLEAN} AS path FROM file_records) WHERE regexp_matches(path, '^web/.*(?:/|$)|^src/[^/]*\\.py(?:/|$)|^build$|^tests/(?:/|$)')",

@@ -107,6 +107,12 @@ def graph_khop_all(spark, d):
     return graph.expand(_whole_graph(spark, d), seeds, 2)
 
 
+def node_keys(spark, d):
+    """Chunks as nodes: their key and how many properties are kept."""
+    rows = chunks(spark, d, "chunk_id", "collection", "rel_path", "start_line", "end_line", "language", "symbol_name").withColumn("name", F.col("symbol_name"))
+    return graph.node_properties(rows).select("key", F.size("properties").alias("properties"), F.element_at("properties", "name").alias("name"))
+
+
 def unknown_hits(spark, d):
     """Points that were returned by a search and are no chunks."""
     return search.missing_ids(table(spark, d, "chunks").select("point_id"), table(spark, d, "search_hits"))
@@ -194,7 +200,7 @@ def latency_percentiles(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        delta_classify, stale_paths, file_metadata_scan, upsert_result, delete_result, collection_flags, graph_nodes, graph_edges, neighbor_keys, graph_khop, graph_callers, service_graph, neighbor_keys_all, graph_khop_all, unknown_hits, paths_of_stale_chunks, retrieval_metrics, mean_metrics,
+        delta_classify, stale_paths, file_metadata_scan, upsert_result, delete_result, collection_flags, graph_nodes, graph_edges, neighbor_keys, graph_khop, graph_callers, service_graph, neighbor_keys_all, graph_khop_all, node_keys, unknown_hits, paths_of_stale_chunks, retrieval_metrics, mean_metrics,
         metrics_by_tag, query_stats, baseline_compare, resolved_anchors, drift_report, hard_negatives, best_positive, holdout_split, latency_percentiles,
     )
 }
@@ -241,6 +247,7 @@ resolved AS (SELECT a.anchor_id, p.chunk_id, coalesce(p.method, 'unresolved') AS
 SQL = {
     "delta_classify": STATE + """SELECT coalesce(s.collection, k.collection) AS collection, coalesce(s.path, k.path) AS path, CASE WHEN s.path IS NULL THEN 'stale' WHEN k.path IS NULL THEN 'new'
 WHEN coalesce(s.mtime <> 0 AND k.mtime <> 0 AND abs(s.mtime - k.mtime) < 0.001, false) OR coalesce(s.hash = k.hash, false) THEN 'unchanged' ELSE 'modified' END AS change FROM scan s FULL JOIN kept k ON s.collection = k.collection AND s.path = k.path""",
+    "node_keys": "SELECT chunk_id AS key, (2 + (collection IS NOT NULL)::INT + (rel_path IS NOT NULL)::INT + (end_line IS NOT NULL)::INT + (language IS NOT NULL)::INT + (symbol_name IS NOT NULL)::INT)::INT AS properties, symbol_name AS name FROM (SELECT DISTINCT * FROM chunks)",
     "unknown_hits": "SELECT DISTINCT point_id FROM search_hits WHERE point_id NOT IN (SELECT point_id FROM chunks)",
     "paths_of_stale_chunks": STATE + "SELECT c.collection, c.rel_path, c.start_line, c.chunk_id FROM (SELECT DISTINCT * FROM chunks) c JOIN scan s ON s.collection = c.collection AND s.path = c.rel_path JOIN kept k ON k.collection = c.collection AND k.path = c.rel_path WHERE NOT (coalesce(s.mtime <> 0 AND k.mtime <> 0 AND abs(s.mtime - k.mtime) < 0.001, false) OR coalesce(s.hash = k.hash, false))",
     "stale_paths": STATE + "SELECT * FROM stale",
