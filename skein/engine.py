@@ -35,10 +35,20 @@ class Engine:
     # -- indexing
 
     def index_codebase(self, path: str, collection: str | None = None, ignore: list[str] | None = None) -> DataFrame:
-        """The chunks of a workspace, by windows, with symbols of the file's type; nothing is stored."""
+        """The chunks of a workspace: definitions, else windows. They are stored by :meth:`upsert`, or by the chunk table of a stream."""
         name = collection or path.strip("/").split("/")[-1]
         files = scan_workspace(self.spark, path, ignore).withColumn("collection", F.lit(name))
-        return chunking.windows(files).withColumn("symbol_type", F.coalesce(text.file_symbol_type(F.col("path"), F.col("language")), F.lit("other")))
+        return chunking.chunk_files(files)
+
+    def index_all(self, paths: dict[str, str], ignore: list[str] | None = None) -> DataFrame:
+        """The chunks of several workspaces (collection to path)."""
+        parts = [self.index_codebase(path, name, ignore) for name, path in sorted(paths.items())]
+        if not parts:
+            raise SkeinError("validation", "no_workspaces", "at least one workspace is needed")
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def index_status(self, files: DataFrame, metadata: DataFrame, runs: DataFrame) -> DataFrame:
         """Per collection: the last run's status and how many records wait for the next run."""
@@ -99,6 +109,19 @@ class Engine:
     def get_collection_summary(self, collection: str) -> DataFrame:
         return relations.collection_summary(self.chunks.where(F.col("collection") == collection))
 
+    def get_collection_tree(self, collection: str) -> DataFrame:
+        """folder, files of the folders down to the second level."""
+        files = self.chunks.where(F.col("collection") == collection).select("rel_path").distinct()
+        folders = files.select("rel_path", F.explode(text.folder_prefixes(F.col("rel_path"))).alias("folder")).where(F.col("folder").isNotNull())
+        return folders.groupBy("folder").agg(F.count("*").alias("files"))
+
+    def get_collection_dependencies(self, collection: str) -> DataFrame:
+        """What the collection's manifests depend on, with the collection that each stands for (null if none) and how surely."""
+        manifests = relations.merged_files(self.chunks.where((F.col("collection") == collection) & text.is_manifest(F.col("rel_path")))).withColumnRenamed("rel_path", "path")
+        deps = dependencies.dependencies(manifests)
+        matched = relations.match_dependencies(deps.withColumn("self", F.col("collection")).drop("collection"), self.chunks.select("collection"))
+        return deps.join(matched.withColumnRenamed("collection", "stands_for"), "artifact", "left")
+
     # -- analysis
 
     def find_cross_references(self, symbol_name: str, collections: list[str] | None = None) -> DataFrame:
@@ -119,7 +142,7 @@ class Engine:
         http, config = edge(relations.matching_paths(called, routes), "http_call"), edge(relations.matching_paths(configured, routes), "service_config")
         manifests = relations.merged_files(rows.where(text.is_manifest(F.col("rel_path")))).withColumnRenamed("rel_path", "path")
         deps = dependencies.dependencies(manifests).withColumn("self", F.col("collection")).drop("collection")
-        matched = relations.match_dependencies(deps.withColumn("artifact", F.concat_ws("\u0000", "self", "artifact")).select(F.substring_index("artifact", "\u0000", -1).alias("artifact"), "group", "self"), rows.select("collection"))
+        matched = relations.match_dependencies(deps.select("artifact", "group", "self"), rows.select("collection"))
         built = matched.join(deps.select("artifact", F.col("self").alias("from")).distinct(), "artifact").where(F.col("from") != F.col("collection"))
         built = built.groupBy("from", F.col("collection").alias("to")).agg(F.array_sort(F.collect_set("artifact")).alias("paths")).withColumn("kind", F.lit("build_dependency"))
         return http.unionByName(config).unionByName(built)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,20 +19,45 @@ GOLDEN_SCHEMA = (
 )
 
 
+def listed_files(spark: SparkSession, root: str, excluded: list[str]) -> tuple[str, list[str]]:
+    """(the root's address, relative paths of all files below it); folders of the names ``excluded`` are not entered."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/")
+    todo, found = [top], []
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            if not status.isDirectory():
+                found.append(status.getPath().toString()[len(base) + 1 :])
+            elif (name := status.getPath().getName()) not in excluded and not name.startswith(".venv"):
+                todo.append(status.getPath())
+    return base, sorted(found)
+
+
+def _escaped(path: str) -> str:
+    """A path in which no character stands for others."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def scan_workspace(spark: SparkSession, root: str, ignore: list[str] | None = None, excluded: list[str] | None = None) -> DataFrame:
     """path, language, content, sha256_hash, mtime, binary of the files below ``root`` that a run would index.
 
     Excluded folders, ignored paths, files without a language and binary files (a NUL among the first 512 bytes) are left
-    out; paths are relative to the root. The filters on the path are applied before any content is read.
+    out; paths are relative to the root. Excluded folders are never entered, and paths are chosen before any content is read.
     """
-    base = Path(root).resolve().as_uri().rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    full = F.regexp_replace("path", "^file:/+", "/")
-    rows = files.withColumn("rel", F.substring(full, F.lit(len(base.removeprefix("file://")) + 2), F.length(full)))
-    rows = rows.where(~text.excluded(F.col("rel"), excluded or text.EXCLUDED)).withColumn("language", text.language_of(F.col("rel"))).where(F.col("language").isNotNull())
+    base, paths = listed_files(spark, root, excluded or text.EXCLUDED)
+    wanted = spark.createDataFrame([(p,) for p in paths], "rel string").withColumn("language", text.language_of(F.col("rel")))
+    wanted = wanted.where(~text.excluded(F.col("rel"), excluded or text.EXCLUDED) & F.col("language").isNotNull())
     patterns = [p for p in map(text.ignore_pattern, ignore or []) if p]
     if patterns:
-        rows = rows.where(~F.col("rel").rlike("|".join(patterns)))
+        wanted = wanted.where(~F.col("rel").rlike("|".join(patterns)))
+    kept = [r.rel for r in wanted.select("rel").toLocalIterator()]  # the names of one workspace's files, which the listing holds anyway
+    if not kept:
+        return spark.createDataFrame([], FILE_SCHEMA)
+    files = spark.read.format("binaryFile").load([f"{base}/{_escaped(p)}" for p in kept])
+    full = F.regexp_replace("path", "^file:/+", "/")
+    rows = files.withColumn("rel", F.substring(full, F.lit(len(base.removeprefix("file:")) + 2), F.length(full))).withColumn("language", text.language_of(F.col("rel")))
     head = F.substring(F.hex(F.substring("content", 1, 512)), 1, 1024)
     binary = F.regexp_like(head, F.lit("^(?:..)*?00"))
     return rows.where(~binary).select(

@@ -116,6 +116,80 @@ def test_plans(spark):
         return catalog.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
 
     assert "TakeOrderedAndProject" in plan("dense_topk") and "WindowGroupLimit" in plan("per_collection_topk")
-    for name in ("callees", "bm25_weights", "hybrid_rrf", "resolved_calls", "p7_found", "collection_summary"):
+    for name in ("collection_summary", "list_collections", "files_per_language", "shared_symbols", "find_symbols", "file_outline", "graph_nodes"):
+        scans = [line for line in plan(name).split("\n") if "FileScan" in line and "chunks.parquet" in line]
+        assert scans and (name == "graph_nodes" or not any("content" in line for line in scans)), name
+    assert plan("bm25_weights").count("Python") <= plan("bm25_weights").count("ArrowEvalPython") + plan("bm25_weights").count("pythonUDF")  # the stemmer alone, by Arrow batches
+    for name in ("callees", "token_freq", "hybrid_rrf", "service_edges", "p7_found", "collection_summary"):
         assert "Python" not in plan(name) and "Arrow" not in plan(name) and "CartesianProduct" not in plan(name)
     assert "dense_vector" not in plan("dir_tree") and "content" not in plan("delta_classify")
+
+
+def test_workspace_reads_no_excluded_content(spark, tmp_path):
+    """A file too large to be read fails a scan only if it is read."""
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "node_modules" / "big.js").write_text("x" * 5000)
+    (tmp_path / "a [1].py").write_text("x = 1\n")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        assert [r.path for r in workspace.scan_workspace(spark, str(tmp_path)).collect()] == ["a [1].py"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    (tmp_path / "empty").mkdir()
+    assert workspace.scan_workspace(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_late_scans_change_nothing(spark, tmp_path):
+    def batch(n, *rows):
+        df = spark.createDataFrame([(i, "c", p, "python", t, at) for i, p, t, at in rows], "record_id bigint, collection string, rel_path string, language string, content string, scanned_at string")
+        ingest.ingest_batch(tables, df.withColumns({"sha256_hash": F.sha2("content", 256), "scanned_at": F.col("scanned_at").cast("timestamp")}), n)
+
+    tables = ingest.ChunkTable(spark, str(tmp_path / "t"), buckets=4)
+    got = lambda: sorted((r.path, r.content) for r in tables.read().collect())
+    batch(0, (1, "a.py", "new", "2026-01-05"), (2, "b.py", "b", "2026-01-01"))
+    batch(1, (3, "a.py", "old", "2026-01-02"), (4, "c.py", "c", "2026-01-03"))
+    assert got() == [("a.py", "new"), ("b.py", "b"), ("c.py", "c")]
+    batch(2, (5, "./a.py", "newer", "2026-01-06"))
+    batch(2, (5, "./a.py", "newer", "2026-01-06"))  # repeated
+    assert got() == [("a.py", "newer"), ("b.py", "b"), ("c.py", "c")] and len(tables.versions()) == 2
+    folders = [p for p in (tmp_path / "t" / "data").glob("v*/bucket=*")]
+    assert len(folders) <= len({f for v in tables.versions() for f in tables.folders(v).values()})
+
+
+def test_engine_indexes_and_describes(spark, tmp_path):
+    root = tmp_path / "svc"
+    root.mkdir()
+    (root / "a.py").write_text("import os\n\ndef f():\n    return os.name\n")
+    (root / "package.json").write_text('{"dependencies": {"other-client": "1"}}')
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "b.py").write_text("x = 1\n")
+    empty = spark.createDataFrame([], "collection string, rel_path string, content string")
+    made = Engine(spark, empty).index_all({"svc": str(root), "other": str(tmp_path / "other")})
+    rows = {(r.collection, r.path): r for r in made.collect()}
+    assert rows["svc", "a.py"].symbol_name == "f" and rows["svc", "a.py"].content.startswith("import os\ndef f") and rows["svc", "package.json"].symbol_type == "manifest"
+    engine = Engine(spark, made.withColumnRenamed("path", "rel_path").withColumn("point_id", F.monotonically_increasing_id()))
+    assert [(r.artifact, r.stands_for, r.confidence) for r in engine.get_collection_dependencies("svc").collect()] == [("other-client", "other", "exact")]
+    assert engine.get_collection_tree("svc").count() == 0
+
+
+def test_embedding_providers(spark):
+    import numpy as np
+
+    from skein.functions import embedding
+
+    rows = spark.createDataFrame([(1, "ab"), (2, ""), (3, None), (4, "ab"), (5, "c")], "id int, content string")
+
+    def dense():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    got = {r.id: r.dense_vector for r in embedding.dense_vectors(rows, dense, 2, prefix="q: ").collect()}
+    assert got[2] is got[3] is None and got[1] == got[4] and got[1] == pytest.approx([5 / 26**0.5, 1 / 26**0.5])
+    with pytest.raises(Exception, match="dimensions"):
+        embedding.dense_vectors(rows, dense, 3).collect()
+
+    def tokens():
+        return lambda texts: [(np.arange(2 * len(t) + 2).reshape(-1, 2), [0] + [1] * len(t)) for t in texts]
+
+    many = {r.id: r.multivector for r in embedding.token_vectors(rows, tokens, 2, longest=2).collect()}
+    assert many[1] == [[2.0, 3.0]] and many[2] == [[0.0, 0.0]] and many[3] is None
+    assert embedding.token_vectors(rows.limit(0), tokens, 2).count() == 0

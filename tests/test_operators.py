@@ -376,3 +376,75 @@ def test_manifest_store_refuses_a_second_run(spark, tmp_path):
 
     with pytest.raises(Exception, match="exist"):
         store.run(spark.createDataFrame([("a", 1, "x")], LISTING), process)
+
+
+def test_files_in_chunks(spark):
+    from skein.operators import chunking
+
+    body = "def foo():\n    return 1\n\n\nclass Bar:\n    def baz(self):\n        return 2\n"
+    got = chunking.file_chunks(body, "python", "sample.py")
+    assert [(c[0], c[2], c[4]) for c in got] == [(1, "foo", "f3791711a476f9ce370d58605e354b193054026f92cb412e63938a429547ee4f"), (5, "Bar", "16ca50508dd9714562b1944daccd94dc0c9ac1ab6f22c4cab934446635271da6")]
+    sql = "SELECT 1\n" * 70 + "CREATE PROCEDURE dbo.P AS\nBEGIN\nSELECT 2\nEND\n" + "SELECT 3\n" * 70
+    got = chunking.file_chunks(sql, "sql", "p.sql")
+    assert ("dbo.P", "procedure", 71, 74) in [(c[2], c[3], c[0], c[1]) for c in got] and all(c[1] < 71 or c[0] > 74 for c in got if c[2] is None)
+    names = {language: [c[2] for c in chunking.file_chunks(t, language, "x")] for language, t in {
+        "rust": "pub fn a(x: u8) -> u8 {\n  x\n}\nimpl T {\n  fn b() {}\n}\n", "c": "int f(int x) {\n  if (x) { return 1; }\n  return 0;\n}\nstruct S { int a; };\n", "cpp": "class A : B {\n void m() {}\n};\nint A::n() const {\n  return 1;\n}\n",
+    }.items()}
+    assert names == {"rust": ["a", "T"], "c": ["f", "S"], "cpp": ["A", "n"]}
+    files = spark.createDataFrame([("c", "a.py", "python", body), ("c", "n", None, "x"), ("c", "e.py", "python", ""), ("c", "o.py", "python", None)], "collection string, path string, language string, content string")
+    assert rows(chunking.chunk_files(files), "path", "start_line") == [("a.py", 1), ("a.py", 5), ("n", 1)] and chunking.chunk_files(files.limit(0)).count() == 0
+
+
+def test_point_uuids(spark):
+    import uuid
+
+    from skein.functions import text
+
+    names = ["src/foo.py:10", "a.py:1", "b.py:2", "", "ü:3"]
+    got = [r.u for r in spark.createDataFrame([(n,) for n in names], "n string").select(text.name_uuid(F.col("n")).alias("u")).collect()]
+    assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names] and got[0] == "e76dab7b-dd95-5ceb-b893-6930a5076f1e"
+
+
+def test_references_are_merged_and_linked(spark):
+    from skein.operators import references
+
+    schema = "symbol_name string, collection string, rel_path string, start_line int, match_type string, score double, reference_type string"
+    data = [("s", "a", "p", 1, "import_search", 0.9, "import"), ("s", "a", "p", 1, "semantic", 0.4, "usage"), ("s", "a", "q", 1, "exact_symbol", 1.0, "definition"), ("s", "b", "r", 2, "semantic", 0.5, "usage"), ("s", "b", "r", 2, "call_site", 1.0, "usage"), ("s", None, None, None, "call_site", 1.0, "x"), ("s", "a", "z", 1, "other", 1.0, "x")]
+    got = rows(references.merged(spark.createDataFrame(data + data[:2], schema)).where("collection is not null"), "collection", "rel_path", "match_type", "score", "reference_type")
+    assert got == [("a", "p", "semantic", 0.4, "usage"), ("a", "q", "exact_symbol", 1.0, "definition"), ("b", "r", "call_site", 1.0, "call_site")]
+    found = spark.createDataFrame([
+        ("S", "a", "d", "definition", "class S {", "S"), ("S", "b", "c", "call_site", "S()", ""), ("S", "b", "u", "usage", "x: S", ""), ("S", "b", "n", "usage", "none", ""), ("S", "a", "v", "usage", "x: S", ""), ("S", "c", "o", "definition", "class O {", "O"),
+        ("S", "b", "h", "http_call", 'uri("/api/x/y")', ""), ("S", "c", "e", "endpoint_definition", '@GetMapping("/api/x/y")', ""), ("S", "b", "k", "service_config", "path: /api/x/y", ""),
+    ], "symbol_name string, collection string, rel_path string, reference_type string, content string, own_symbol string")
+    got = rows(references.links(found), "kind", "from_path", "to_path")
+    assert got == [("code_dependency", "c", "d"), ("code_dependency", "u", "d"), ("http_dependency", "h", "e"), ("http_dependency", "k", "e")]
+    assert references.links(found.limit(0)).count() == 0
+
+
+def test_nearest_of_a_set(spark):
+    import numpy as np
+
+    from skein.operators import search
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    x[:20] = x[0]  # a third are copies
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [1.0]), (102, [0.0] * 4), (103, [float("nan")] * 4), (None, x[3].tolist())]
+    df = spark.createDataFrame(data, "point_id bigint, dense_vector array<float>")
+    asked = df.where("point_id % 7 = 0").withColumnRenamed("point_id", "query_id")
+    for block in (3, 1000):
+        got = rows(search.dense_topk_set(df, asked, 5, dim=4, block=block), "query_id", "rank", "point_id")
+        want = []
+        for q in range(0, 60, 7):
+            y = x.astype(float)
+            s = np.round(y @ y[q] / (np.linalg.norm(y, axis=1) * np.linalg.norm(y[q])), 6)
+            want += [(q, n + 1, int(p)) for n, p in enumerate(np.lexsort((np.arange(60), -s))[:5])]
+        assert got == sorted(want)
+    assert search.dense_topk_set(df, asked.limit(0), 5, dim=4).count() == 0
+
+
+def test_stems_of_arrays(spark):
+    from skein.functions import terms
+
+    got = spark.createDataFrame([(["running", "connection"],), ([],), (None,), (["files", "files"],)], "t array<string>").select(terms.stems_udf("t").alias("s")).collect()
+    assert [r.s for r in got] == [["run", "connect"], [], None, ["file", "file"]]
