@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text, vectors
-from skein.operators import chunking, dependencies, graph, incremental, relations, search, state
+from skein.operators import chunking, dependencies, graph, incremental, references, relations, search, state
 from skein.sources.workspace import scan_workspace
 
 
@@ -26,11 +26,11 @@ class SkeinError(Exception):
 class Engine:
     """Search and analysis over chunks (with dense_vector) of any number of collections.
 
-    ``embed`` gives the query vector of a text; it is the caller's model. Every method is one lazy plan.
+    ``embed`` gives the query vector of a text, ``embed_tokens`` its token vectors; they are the caller's models. Every method is one lazy plan.
     """
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, embed: Callable[[str], list[float]] | None = None, dim: int = 64):
-        self.spark, self.chunks, self.embed, self.dim = spark, chunks, embed, dim
+    def __init__(self, spark: SparkSession, chunks: DataFrame, embed: Callable[[str], list[float]] | None = None, dim: int = 64, embed_tokens: Callable[[str], list[list[float]]] | None = None):
+        self.spark, self.chunks, self.embed, self.dim, self.embed_tokens = spark, chunks, embed, dim, embed_tokens
 
     # -- indexing
 
@@ -66,10 +66,11 @@ class Engine:
     def _targets(self, primary: str | None, extra: list[str] | None) -> list[str]:
         return list(dict.fromkeys([primary or "codebase", *(extra or [])]))
 
-    def search_codebase(self, query: str, top_k: int = 5, collection: str | None = None, collections: list[str] | None = None, language: str | None = None, min_score: float = 0.5, max_content_chars: int = 2000, sparse: bool = True) -> DataFrame:
+    def search_codebase(self, query: str, top_k: int = 5, collection: str | None = None, collections: list[str] | None = None, language: str | None = None, min_score: float = 0.5, max_content_chars: int = 2000, sparse: bool = True, rerank: bool = False) -> DataFrame:
         """Hits of a text: dense and sparse lists per collection, fused; of several collections the fused lists are fused again.
 
-        ``min_score`` holds in dense-only mode.
+        ``min_score`` holds in dense-only mode. With ``rerank`` the chunks of both lists are ordered by the late interaction of
+        their token vectors (column multivector) with the query's instead of the first fusion.
         """
         self._check(top_k, 20)
         rows = self.chunks.where(F.col("collection").isin(self._targets(collection, collections)))
@@ -83,12 +84,24 @@ class Engine:
             asked = self.spark.createDataFrame([(0, query)], "query_id int, query_text string")
             found = search.sparse_topk(rows.select(F.struct("collection", "chunk_id").alias("key"), "content"), asked, top_k * 5, key="key")
             both = both.unionByName(found.select("key.collection", "key.chunk_id", "rank"))
+        if rerank:
+            both = self._reranked(rows, both, query, top_k)
         first = search.fused(both, ["collection"], ["chunk_id"], top_k, [F.col("chunk_id")], 2)
         last = search.fused(first.withColumn("rank", F.col("position")), [], ["collection", "chunk_id"], top_k, [F.desc("collection"), F.desc("chunk_id")])
         cut, was = text.truncated(F.col("content"), max_content_chars)
         detail = rows.select("collection", "chunk_id", "rel_path", "language", "start_line", "end_line", "symbol_name", cut.alias("content"), was.alias("truncated")).dropDuplicates(["collection", "chunk_id"])
         return last.join(detail, ["collection", "chunk_id"]).withColumn("fused", F.bround("fused", 4))
 
+    def _reranked(self, rows: DataFrame, lists: DataFrame, query: str, k: int) -> DataFrame:
+        """collection, chunk_id, rank of the listed chunks by late interaction; those without token vectors come last."""
+        if self.embed_tokens is None or "multivector" not in rows.columns:
+            raise SkeinError("validation", "no_multivectors", "a rerank needs token vectors of the chunks and of the query")
+        asked = self.spark.createDataFrame([([[float(x) for x in v] for v in self.embed_tokens(query)],)], "query_tokens array<array<double>>")
+        listed = lists.select("collection", "chunk_id").distinct().join(rows.select("collection", "chunk_id", "multivector").dropDuplicates(["collection", "chunk_id"]), ["collection", "chunk_id"])
+        score = F.when(F.size("multivector") > 0, vectors.max_similarity(F.col("query_tokens"), F.col("multivector")))
+        late = listed.crossJoin(F.broadcast(asked)).select("collection", "chunk_id", F.round(score, 6).alias("late"))  # one row
+        return search.top_per(late, ["collection"], [F.desc_nulls_last("late"), F.col("chunk_id")], k).drop("late")
+
     def search_symbols(self, query: str, top_k: int = 10, **kwargs) -> DataFrame:
         return self.search_codebase(query, top_k, min_score=0.4, **kwargs).drop("content", "truncated")
 
@@ -124,12 +137,41 @@ class Engine:
 
     # -- analysis
 
-    def find_cross_references(self, symbol_name: str, collections: list[str] | None = None) -> DataFrame:
-        if not symbol_name:
-            raise SkeinError("validation", "symbol_required", "a symbol is needed")
-        rows = self.chunks.where(F.col("collection").isin(collections)) if collections else self.chunks
-        wanted = self.spark.createDataFrame([(symbol_name,)], "symbol_name string")
-        return relations.cross_references(rows, relations.calls(rows), wanted)
+    def find_cross_references(
+        self, symbol_name: str | None = None, collections: list[str] | None = None, query: str | None = None, member: str | None = None, receiver: str | None = None, top_k: int = 10, rerank: bool = False
+    ) -> DataFrame:
+        """References of a symbol, a text or a called member (of a receiver), merged, with reference_type; at least one of these is needed.
+
+        A symbol gives its definitions and what a search for its import finds; a text what a search finds; a member its call sites.
+        """
+        if not (symbol_name or query or member):
+            raise SkeinError("validation", "symbol_required", "a symbol, a query or a member is needed")
+        names = collections or [r.collection for r in self.chunks.select("collection").distinct().orderBy("collection").collect()]  # collections are few
+        rows = self.chunks.where(F.col("collection").isin(names))
+        lookup = query or symbol_name or member
+        parts = []
+
+        def searched(words: str, kind: str) -> None:
+            hits = self.search_codebase(words, top_k, names[0] if names else None, names[1:], min_score=0.3, rerank=rerank)
+            parts.append(hits.select("collection", "chunk_id", F.col("fused").alias("score"), F.lit(kind).alias("match_type")))
+
+        if query:
+            searched(query, "semantic")
+        if symbol_name:
+            found = search.top_per(rows.where(F.col("symbol_name") == symbol_name).select("collection", "chunk_id", "rel_path", "start_line"), ["collection"], [F.col("rel_path"), F.col("start_line")], top_k)
+            parts.append(found.select("collection", "chunk_id", F.lit(1.0).alias("score"), F.lit("exact_symbol").alias("match_type")))
+            if self.embed:
+                searched(f"import {symbol_name}", "import_search")
+        if member or symbol_name:
+            token = f"{receiver}.{member}" if receiver and member else member or symbol_name
+            called = relations.find_callers(relations.calls(rows), self.spark.createDataFrame([(token,)], "symbol_name string"), top_k)
+            parts.append(called.join(rows.select("point_id", "chunk_id"), "point_id").select("collection", "chunk_id", F.lit(1.0).alias("score"), F.lit("call_site").alias("match_type")))
+        matches = parts[0]
+        for p in parts[1:]:
+            matches = matches.unionByName(p)
+        detail = rows.select("collection", "chunk_id", "rel_path", "start_line", "content").dropDuplicates(["collection", "chunk_id"])
+        kind = text.reference_type(F.coalesce("content", F.lit("")), F.lit(lookup), F.col("rel_path"))
+        return references.merged(matches.join(detail, ["collection", "chunk_id"]).select(F.lit(lookup).alias("symbol_name"), "collection", "rel_path", "start_line", "match_type", "score", kind.alias("reference_type")))
 
     def map_service_dependencies(self, collections: list[str]) -> DataFrame:
         if len(set(collections)) < 2:
@@ -147,9 +189,12 @@ class Engine:
         built = built.groupBy("from", F.col("collection").alias("to")).agg(F.array_sort(F.collect_set("artifact")).alias("paths")).withColumn("kind", F.lit("build_dependency"))
         return http.unionByName(config).unionByName(built)
 
-    def recommend_code(self, ids: list[int], negative: list[int] | None = None, limit: int = 5, language: str | None = None, path_glob: str | None = None) -> DataFrame:
+    def recommend_code(self, ids: list[int] | None = None, negative: list[int] | None = None, limit: int = 5, language: str | None = None, path_glob: str | None = None, texts: list[str] | None = None) -> DataFrame:
+        """Chunks like the examples, which are chunks, texts or both."""
+        if texts and self.embed is None:
+            raise SkeinError("validation", "no_embedder", "text examples need an embedder")
         try:
-            return search.recommend(self.chunks, ids, negative or [], limit, language, path_glob, self.dim)
+            return search.recommend(self.chunks, ids or [], negative or [], limit, language, path_glob, self.dim, [[float(x) for x in self.embed(t)] for t in texts or []])
         except ValueError as e:
             raise SkeinError("validation", "examples", str(e)) from e
 
@@ -173,7 +218,7 @@ class Engine:
 
     def upsert(self, incoming: DataFrame) -> Engine:
         """An engine over the chunks with ``incoming`` in place of those with the same collection and id."""
-        return Engine(self.spark, state.upsert(self.chunks, incoming, ["collection", "chunk_id"]), self.embed, self.dim)
+        return Engine(self.spark, state.upsert(self.chunks, incoming, ["collection", "chunk_id"]), self.embed, self.dim, self.embed_tokens)
 
     def _check(self, k: int, most: int) -> None:
         try:

@@ -71,7 +71,9 @@ def resolve_anchors(anchors: DataFrame, points: DataFrame) -> DataFrame:
     second = by_symbol.groupBy("anchor_id").agg(F.lit(2).alias("rung"), pick.alias("chunk_id"), F.when(F.count("*") == 1, "content").otherwise("nearest_line").alias("method"))
     third = a.join(live, ["collection", "rel_path"]).groupBy("anchor_id").agg(F.lit(3).alias("rung"), pick.alias("chunk_id"), F.lit("basename").alias("method"))
     names = live.withColumn("name", text.basename(F.col("rel_path"))).drop("rel_path")
-    fourth = a.withColumn("name", text.basename(F.col("rel_path"))).join(names, ["collection", "name"]).groupBy("anchor_id").agg(F.lit(4).alias("rung"), pick.alias("chunk_id"), F.lit("basename").alias("method"))
+    resolved = first.select("anchor_id").unionByName(second.select("anchor_id")).unionByName(third.select("anchor_id"))
+    rest = a.join(resolved, "anchor_id", "left_anti")  # file names are hot keys: only what is still open is looked up by them
+    fourth = rest.withColumn("name", text.basename(F.col("rel_path"))).join(names, ["collection", "name"]).groupBy("anchor_id").agg(F.lit(4).alias("rung"), pick.alias("chunk_id"), F.lit("basename").alias("method"))
     best = first.unionByName(second).unionByName(third).unionByName(fourth).groupBy("anchor_id").agg(F.min(F.struct("rung", "method", "chunk_id")).alias("best"))
     return anchors.select("anchor_id").join(best, "anchor_id", "left").select("anchor_id", "best.chunk_id", F.coalesce("best.method", F.lit("unresolved")).alias("method"))
 

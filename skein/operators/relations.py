@@ -73,15 +73,19 @@ def match_dependencies(deps: DataFrame, collections: DataFrame) -> DataFrame:
 
     ``exact``: artifact or group has the collection's normal name; ``fuzzy``: artifact, else group, of four characters or
     more holds it or is held by it. Each artifact and collection once, the dependency's own collection (``self``) never.
-    Collections are few (one row each); their names are sent to all tasks.
+    Names are looked up in each other by their parts, not pair by pair.
     """
     names = collections.select("collection").distinct().select("collection", text.normal_name(F.col("collection")).alias("c")).where(F.length("c") > 0)
-    rows = deps.withColumn("a", text.normal_name(F.col("artifact"))).withColumn("g", text.normal_name(F.coalesce("group", F.lit(""))))
-    near = lambda x: (F.length(x) >= 4) & (F.contains("c", x) | F.contains(x, F.col("c")))
-    exact = (F.col("a") == F.col("c")) | ((F.length("g") > 0) & (F.col("g") == F.col("c")))
-    rows = rows.join(F.broadcast(names), exact | near(F.col("a")) | near(F.col("g")))
-    rows = rows.where(F.col("collection") != F.coalesce("self", F.lit("")))
-    return rows.groupBy("artifact", "collection").agg(F.min(F.when(exact, "exact").otherwise("fuzzy")).alias("confidence"))
+    rows = deps.select("artifact", F.coalesce("self", F.lit("")).alias("self"), F.array(text.normal_name(F.col("artifact")), text.normal_name(F.coalesce("group", F.lit("")))).alias("both"))
+    rows = rows.select("artifact", "self", F.explode("both").alias("x")).where(F.length("x") > 0).distinct()
+    asked = rows.select("x").distinct()
+    equal = asked.join(names, F.col("x") == F.col("c")).select("x", "c", F.lit("exact").alias("confidence"))
+    long = asked.where(F.length("x") >= 4)
+    inside = contained(long.select(F.col("x").alias("text")), names.select(F.col("c").alias("name"))).select(F.col("text").alias("x"), F.col("name").alias("c"), F.lit("fuzzy").alias("confidence"))
+    around = contained(names.select(F.col("c").alias("text")), long.select(F.col("x").alias("name"))).select(F.col("name").alias("x"), F.col("text").alias("c"), F.lit("fuzzy").alias("confidence"))
+    near = equal.unionByName(inside).unionByName(around).groupBy("x", "c").agg(F.min("confidence").alias("confidence"))
+    found = rows.join(near, "x").join(names, "c").where(F.col("collection") != F.col("self"))
+    return found.groupBy("artifact", "collection").agg(F.min("confidence").alias("confidence"))
 
 
 def shared_symbols(chunks: DataFrame) -> DataFrame:
@@ -136,6 +140,17 @@ def _holding(texts: DataFrame, names: DataFrame, sizes: list[int], longest: int)
     return rows.join(names, ["size", "key"]).where(F.startswith("t", F.col("symbol_name"))).select("symbol_name", "collection").distinct()
 
 
+def contained(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """text, name of all pairs in which a short text (text) holds a name (name); equal ones too, empty ones never.
+
+    Every part of a text is a key that names are looked up by: an equi-join. Meant for names, whose parts are few.
+    """
+    n = F.length("text")
+    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda size: F.substr("text", i, size)))
+    rows = texts.where(n > 0).select("text").distinct().select("text", F.explode(F.array_distinct(F.flatten(parts))).alias("name"))
+    return rows.join(names.select("name").distinct(), "name").select("text", "name")
+
+
 def usages(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """symbol_name, defined_in, used_in: collections whose chunks mention a symbol that another collection defines.
 

@@ -192,12 +192,24 @@ def multi_hop(hops: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
     return top_per(scored, ["query_id"], [F.desc("fused"), F.desc("chunk_id")], k, "position").select("query_id", "chunk_id", "fused", F.col("first.hop").alias("hop"), "position")
 
 
-def recommend(chunks: DataFrame, positive: list[int], negative: list[int], k: int = 5, language: str | None = None, path_glob: str | None = None, dim: int = 64) -> DataFrame:
-    """The chunks nearest to twice the mean of the positive examples less the mean of the negative ones, without the examples."""
-    if not positive or len(positive) + len(negative) > 10:
+def recommend(
+    chunks: DataFrame, positive: list[int], negative: list[int], k: int = 5, language: str | None = None, path_glob: str | None = None, dim: int = 64, more: list[list[float]] | None = None
+) -> DataFrame:
+    """The chunks nearest to twice the mean of the positive examples less the mean of the negative ones, without the examples.
+
+    ``more``: vectors of further positive examples that are no chunks, such as texts.
+    """
+    more = more or []
+    if not positive and not more or len(positive) + len(negative) + len(more) > 10:
         raise ValueError("one positive example at least and ten examples at most")
     rows = chunks.where(vectors.usable(F.col("dense_vector"), dim))
-    mean = lambda ids, name: rows.where(F.col("point_id").isin(ids)).agg(F.array(*[F.avg(F.col("dense_vector")[i].cast("double")) for i in range(dim)]).alias(name))
+    given = chunks.sparkSession.createDataFrame([(-1, v) for v in more], "point_id bigint, dense_vector array<double>")
+
+    def of(ids: list[int], extra: DataFrame | None) -> DataFrame:
+        some = rows.where(F.col("point_id").isin(ids)).select(F.col("point_id").cast("bigint").alias("point_id"), F.col("dense_vector").cast("array<double>").alias("dense_vector"))
+        return some if extra is None else some.unionByName(extra)
+
+    mean = lambda ids, name: of(ids, given if more and name == "p" else None).agg(F.array(*[F.avg(F.col("dense_vector")[i].cast("double")) for i in range(dim)]).alias(name))
     query = mean(positive, "p")
     if negative:
         query = query.crossJoin(F.broadcast(mean(negative, "n"))).select(F.zip_with("p", "n", lambda p, n: 2 * p - n).alias("query_vector"))  # one row

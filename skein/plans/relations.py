@@ -173,9 +173,9 @@ def find_callers(spark, d):
 def missing_symbols(spark, d):
     """Collections in which a named symbol is not defined."""
     found = relations.find_symbols(defining(spark, d, "start_line"), named_symbols(spark, d), 1).select("symbol_name", "collection")
-    names = table(spark, d, "chunks").select("collection").distinct()
-    wanted = found.select("symbol_name").distinct().crossJoin(F.broadcast(names))  # named symbols by collections, one row each
-    return wanted.join(found, ["symbol_name", "collection"], "left_anti")
+    all_of = table(spark, d, "chunks").agg(F.collect_set("collection").alias("all"))  # one row; collections are few
+    held = found.groupBy("symbol_name").agg(F.collect_set("collection").alias("held")).join(F.broadcast(all_of))
+    return held.select("symbol_name", F.explode(F.array_except("all", "held")).alias("collection"))
 
 
 def cross_references(spark, d):

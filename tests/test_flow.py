@@ -73,7 +73,13 @@ def test_engine(spark):
     assert engine.get_chunk(row.chunk_id).count() == 1 and engine.get_file_outline(row.rel_path, row.collection).count() >= 1
     assert engine.get_collection_summary(names[0]).count() == 1 and engine.get_health().count() == 1
     assert engine.expand_search_context([row.chunk_id, "none"], 1).where(F.col("chunk_id") == row.chunk_id).count() >= 1
-    assert engine.find_cross_references(row.symbol_name or "x").columns
+    found = engine.find_cross_references(row.symbol_name or "x", names[:2], query="return", member="run").collect()
+    assert {r.match_type for r in found} <= {"semantic", "exact_symbol", "import_search", "call_site"} and len({(r.collection, r.rel_path, r.start_line) for r in found}) == len(found) > 0
+    assert engine.recommend_code(texts=["x"], limit=3).count() == 3
+    late = Engine(spark, chunks.withColumn("multivector", F.array("dense_vector")), engine.embed, embed_tokens=lambda text: [[1.0] + [0.0] * 63])
+    assert 0 < late.search_codebase("return", 5, names[0], rerank=True).count() <= 5
+    with pytest.raises(SkeinError):
+        engine.search_codebase("x", 5, rerank=True)
     assert engine.map_service_dependencies(names[:2]).count() == 0
     for call in (lambda: engine.search_codebase("x", 99), lambda: engine.recommend_code([]), lambda: engine.find_outlier_chunks([1], max_similarity=2), lambda: engine.map_service_dependencies(["a"]), lambda: Engine(spark, chunks).search_codebase("x")):
         with pytest.raises(SkeinError) as e:
