@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import abuse, distinctive, handwritten, mixing, neighbors, ranking, splitting, tokens, validity
+from skein.operators.search import top_per
 from skein.session import table
 
 
@@ -21,6 +22,13 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.distinctive_terms(table(spark, d, "chunks"))
 
 
+def p1_top(spark: SparkSession, d: str) -> DataFrame:
+    """The five most distinctive terms of every chunk; scores that agree in 6 places are in the order of their terms."""
+    terms = distinctive.distinctive_terms(table(spark, d, "chunks")).select("point_id", "term", F.round("score", 6).alias("score"))
+    best = top_per(terms, ["point_id"], [F.desc("score"), F.col("term")], 5)
+    return best.select("point_id", "term", "rank", "score")
+
+
 def p1_indices(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.distinctive_indices(table(spark, d, "embedded_chunks"))
 
@@ -82,6 +90,13 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p6_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized chunk the digest of its pieces put together without their leads, and whether each fits."""
+    rows = p6_pieces(spark, d).where("pieces > 1").select("point_id", F.struct("piece", F.expr("substring(content, lead + 1)").alias("text")).alias("p"), F.length("content").alias("size"))
+    joined = rows.groupBy("point_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), "").alias("text"), F.max("size").alias("size"))  # the pieces of one text
+    return joined.select("point_id", F.md5("text").alias("digest"), (F.col("size") <= 2400).alias("fits"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -115,4 +130,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.abuse_rates(p10_scores(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_terms, p1_indices, p2_found, p2_ranking, p3_found, p3_files, p3_rates, p4_found, p4_nearest, p4_recall, p5_found, p5_files, p5_evidence, p6_found, p6_pieces, p8_ids, p9_report, p9_mixture, p9_limits, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_top, p1_terms, p1_indices, p2_found, p2_ranking, p3_found, p3_files, p3_rates, p4_found, p4_nearest, p4_recall, p5_found, p5_files, p5_evidence, p6_found, p6_pieces, p6_joined, p8_ids, p9_report, p9_mixture, p9_limits, p10_found, p10_scores, p10_rates)}
