@@ -6,14 +6,17 @@ Every ranking has a total order (score, then key). Query sets are DataFrames, so
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import terms, text, vectors
+from skein.session import cut
 
 
 def validate(k: int, most: int = 30, collections: int | None = None) -> None:
@@ -100,23 +103,95 @@ def dense_topk_set(chunks: DataFrame, queries: DataFrame, k: int, key: str = "po
     return top_per(out.withColumnsRenamed({"query": query_key, "key": key}), [query_key], [F.desc("score"), F.col(key)], k)
 
 
-def postings(docs: DataFrame, key: list[str], content: str, only: DataFrame | None = None) -> DataFrame:
-    """key, token (a stem), weight of every stem of every document; with ``only`` (token) of these stems, at unchanged weights.
+def postings(docs: DataFrame, key: list[str], content: str) -> DataFrame:
+    """key, token (a stem), weight of every stem of every document.
 
-    Tokens are filtered, stemmed and counted, in this order; a document's length is how many it has. Other stems than ``only`` are dropped
-    in the reading task where the set is small enough to be sent there.
+    Tokens are filtered, stemmed and counted, in this order; a document's length is how many it has.
     """
     rows = docs.where(F.length(content) > 0).select(*key, terms.stems_udf(text.kept_tokens(F.col(content))).alias("ts")).select(*key, F.size("ts").alias("length"), F.explode("ts").alias("token"))
-    rows = rows.join(only.select("token").distinct(), "token", "left_semi") if only is not None else rows
     return rows.groupBy(*key, "token").agg(F.count("*").alias("count"), F.first("length").alias("length")).select(*key, "token", text.term_weight(F.col("count"), F.col("length")).alias("weight"))
 
 
-def sparse_topk(docs: DataFrame, queries: DataFrame, k: int, content: str = "content", key: str = "point_id", query_key: str = "query_id", query_text: str = "query_text") -> DataFrame:
-    """Per query the ``k`` documents with the greatest dot product of token weights; only documents that share a token."""
-    q = postings(queries, [query_key], query_text).withColumnRenamed("weight", "query_weight")
-    d = postings(docs, [key], content, q)
-    scored = d.join(q, "token").groupBy(query_key, key).agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("score"))
-    return top_per(scored, [query_key], [F.desc("score"), F.col(key)], k)
+def sparse_topk(docs: DataFrame, queries: DataFrame, k: int, content: str = "content", key: str = "point_id", query_key: str = "query_id", query_text: str = "query_text", block: int = 500_000) -> DataFrame:
+    """Per query the ``k`` documents with the greatest dot product of stem weights; only documents that share a stem.
+
+    The queries' postings are taken in blocks of about ``block``, so that what is sent to the tasks is bounded whatever their
+    number. A task scores its documents against a block and puts out, batch by batch, the k best of every query (and what is
+    equal to the last of them): pairs of documents and queries are never shuffled. Scores have 6 places, ties go to the smaller key.
+    """
+    asked = cut(postings(queries, [query_key], query_text))
+    kinds = f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, `{key}` {docs.schema[key].dataType.simpleString()}, score double"
+    rows = docs.where(F.length(content) > 0).select(key, terms.stems_udf(text.kept_tokens(F.col(content))).alias("ts"))
+    blocks = max(1, -(-asked.count() // block))
+    out = None
+    for n in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n).toArrow().combine_chunks()  # about block rows
+        if not part.num_rows:
+            continue
+        index = SparseQueries.of(part.column(query_key).combine_chunks(), part.column("token").combine_chunks(), part.column("weight").to_numpy())
+
+        def look(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                doc, query, score = index.best(b.column(1), k)
+                yield pa.RecordBatch.from_arrays([index.keys.take(pa.array(query)), b.column(0).take(pa.array(doc)), pa.array(score)], names=[query_key, key, "score"])
+
+        found = rows.mapInArrow(look, kinds)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], kinds)
+    return top_per(out, [query_key], [F.desc("score"), F.col(key)], k)
+
+
+@dataclass(frozen=True)
+class SparseQueries:
+    """Postings of a block of queries: by token the queries that hold it and their weights."""
+
+    keys: pa.Array
+    tokens: pa.Array
+    starts: np.ndarray
+    query: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, keys: pa.Array, tokens: pa.Array, weight: np.ndarray) -> SparseQueries:
+        keys, tokens = keys.dictionary_encode(), tokens.dictionary_encode()
+        token = tokens.indices.to_numpy()
+        order = np.argsort(token, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(tokens.dictionary)))])
+        return cls(keys.dictionary, tokens.dictionary, starts, keys.indices.to_numpy()[order], np.asarray(weight)[order])
+
+    def best(self, documents: pa.Array, k: int, pairs: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, query, score) of the ``k`` best documents (arrays of stems) of every query and those equal to the last."""
+        sizes = documents.value_lengths().fill_null(0).to_numpy()
+        words = documents.flatten().dictionary_encode()
+        known = pc.index_in(words.dictionary, value_set=self.tokens).fill_null(-1).to_numpy(zero_copy_only=False)
+        token = known[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        at, count = np.unique(doc[token >= 0] * len(self.tokens) + token[token >= 0], return_counts=True)
+        doc, token = np.divmod(at, max(1, len(self.tokens)))
+        own = count * (text.BM25_K + 1) / (count + text.BM25_K * (1 - text.BM25_B + text.BM25_B * sizes[doc] / text.AVERAGE_LENGTH))
+        many = self.starts[token + 1] - self.starts[token]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        total, begin = np.cumsum(many), 0
+        while begin < len(doc):
+            # as many postings as give about ``pairs`` pairs, to the end of a document
+            end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + pairs, side="right"))
+            end = int(np.searchsorted(doc, doc[min(max(end, begin + 1), len(doc)) - 1], side="right"))
+            n = many[begin:end]
+            spot = np.repeat(self.starts[token[begin:end]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pair = self.query[spot].astype(np.int64) * len(sizes) + np.repeat(doc[begin:end], n)
+            both, where = np.unique(pair, return_inverse=True)
+            score = np.round(np.bincount(where, weights=np.repeat(own[begin:end], n) * self.weight[spot], minlength=len(both)), 6)
+            query, document = np.divmod(both, len(sizes))
+            document, query, score = (np.concatenate([x, y]) for x, y in zip(held, (document, query, score)))
+            order = np.lexsort((-score, query))
+            document, query, score = document[order], query[order], score[order]
+            first = np.searchsorted(query, query, side="left")
+            last = np.minimum(first + k, np.searchsorted(query, query, side="right")) - 1
+            good = score >= score[last]
+            held = [document[good], query[good], score[good]]
+            begin = end
+        return held[0].astype(np.int64), held[1].astype(np.int64), held[2]
 
 
 def best_hits(hits: DataFrame) -> DataFrame:

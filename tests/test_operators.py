@@ -448,3 +448,30 @@ def test_stems_of_arrays(spark):
 
     got = spark.createDataFrame([(["running", "connection"],), ([],), (None,), (["files", "files"],)], "t array<string>").select(terms.stems_udf("t").alias("s")).collect()
     assert [r.s for r in got] == [["run", "connect"], [], None, ["file", "file"]]
+
+
+def test_sparse_search_equals_brute_force(spark):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(150)] + [(500, None), (501, ""), (502, "running w1 runs"), (503, "w3"), (504, "w3")]
+    asked = [(q, " ".join(rng.choices(words, k=3))) for q in range(20)] + [(90, "run"), (91, "nothing here"), (92, None), (93, "")]
+    df, qs = spark.createDataFrame(docs, "point_id bigint, content string"), spark.createDataFrame(asked, "query_id int, query_text string")
+    weights = lambda t: {w: c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(t) / 256)) for w, c in ((w, t.count(w)) for w in set(t))}
+    stemmed = lambda t: ["run" if w in ("running", "runs") else {"nothing": "noth"}.get(w, w) for w in (t or "").split()]
+    want = []
+    for q, t in asked:
+        mine, found = weights(stemmed(t)), []
+        for i, c in docs:
+            other = weights(stemmed(c))
+            if set(mine) & set(other):
+                found.append((-round(sum(mine[w] * other[w] for w in mine if w in other), 6), i))
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(sorted(found)[:4])]
+    for block in (7, 10_000):
+        assert rows(search.sparse_topk(df, qs, 4, block=block), "query_id", "rank", "point_id") == sorted(want)
+    index = search.SparseQueries.of(pa.array([1, 1, 2]), pa.array(["a", "b", "a"]), [1.0, 2.0, 3.0])
+    texts = pa.array([["a"], None, ["a", "b", "b"], [], ["c"], ["b"], ["a"]])
+    whole, cut = (sorted(zip(*(x.tolist() for x in index.best(texts, 2, pairs=n)))) for n in (100, 1))
+    assert whole == cut and {(d, q) for d, q, _ in whole} == {(2, 0), (5, 0), (0, 1), (6, 1)}
+    assert search.sparse_topk(df.limit(0), qs, 4).count() == search.sparse_topk(df, qs.limit(0), 4).count() == 0
