@@ -27,6 +27,7 @@ def resolve_calls(call_sites: DataFrame, defined: DataFrame, imports: DataFrame
     A name defined once; else the method of ``receiver.method`` defined once; else, with ``imports`` (collection,
     rel_path, name), the one definition of the method whose place holds the imported receiver; else a callee node.
     """
+    call_sites = cut(call_sites)  # used three times, and finding calls in texts is what costs most
     named = defined.select("collection", F.col("symbol_name").alias("name"), text.symbol_key(F.col("collection"), F.col("rel_path"), F.col("symbol_name")).alias("target"))
     single = named.groupBy("collection", "name").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1").drop("n")
     method = F.when(F.col("token").contains("."), F.substring_index("token", ".", -1))
