@@ -26,7 +26,7 @@ class SkeinError(Exception):
 class Engine:
     """Search and analysis over chunks (with dense_vector) of any number of collections.
 
-    ``embed`` gives the query vector of a text, ``embed_tokens`` its token vectors; they are the caller's models. Every method is one lazy plan.
+    ``embed`` gives the query vector of a text, ``embed_tokens`` its token vectors; they are the caller's models. Methods return plans; walks and call targets are evaluated in part on the way.
     """
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, embed: Callable[[str], list[float]] | None = None, dim: int = 64, embed_tokens: Callable[[str], list[list[float]]] | None = None):
